@@ -24,6 +24,8 @@ CLUSTER_BY = {
 
 _SCHEMAS = {**S.TABLES, "static_configs": S.STATIC_CONFIGS, "coverage": S.COVERAGE}
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors see: ``spark.checkpoint.dir``.
@@ -35,9 +37,10 @@ def shared_folder(spark: SparkSession) -> str:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="clusterlens-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="clusterlens-")
+    return _LOCAL_FOLDERS[app]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -70,8 +73,10 @@ def write_tables(tables: Mapping[str, DataFrame], path: str, run_id: str) -> Non
         write_table(df, path, table, run_id)
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).option("basePath", path).parquet(path)
+def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
+    """All runs under a path, with the run as a partition column in its place in the schema."""
+    df = spark.read.schema(schema).option("basePath", path).format(fmt).load(path)
+    return df.select(*schema.names)
 
 
 def read_parquet_tables(
@@ -104,7 +109,4 @@ def write_findings(
 
 
 def read_results(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    where = f"{path.rstrip('/')}/results"
-    return (
-        spark.read.schema(S.RESULT_SCHEMA).option("basePath", where).format(fmt).load(where)
-    )
+    return _read(spark, f"{path.rstrip('/')}/results", S.RESULT_SCHEMA, fmt)
