@@ -1,0 +1 @@
+"""Pipelines, and the driver queries over lens views of the provided tables."""

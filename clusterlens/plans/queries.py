@@ -7,11 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterlens import functions as fn
-from clusterlens import operators as op
 from clusterlens import rules
 from clusterlens.plans.lens import lens
-from clusterlens.rules import catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
 
