@@ -72,7 +72,9 @@ def _payload(s: int) -> str:
         '}},"config":{{"service":{{"proto-fd-max":1000,"min-cluster-size":', 1 + c_nationkey % 2,
         ',"cluster-name":null,"feature-key":"k', c_nationkey % 3 * c_custkey % 2,
         '"}},"security":{{"enable-security":"', CASE WHEN c_nationkey % 2 = 0 THEN 'True' ELSE 'no' END,
-        '"}},"network":{{"service":{{"address":"10.0.0.', c_custkey, '","tls-port":', c_nationkey % 3 * 4000,
+        '"}},"network":{{"service":{{"address":"', CASE c_nationkey WHEN 2 THEN '10.94.0.'
+            WHEN 5 THEN '10.181.0.' WHEN 8 THEN 'x.gce.internal.' ELSE '10.0.0.' END,
+        c_custkey, '","tls-port":', c_nationkey % 3 * 4000,
         '}},"fabric":{{"tls-port":0}}}},"namespace":{{',
         '{config}',
         '}}}},"acl":{{"users":{{"app":{{"connections":', c_custkey % 700,

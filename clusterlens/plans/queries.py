@@ -116,10 +116,3 @@ def r1b_network(spark, d):
 def r6a_connections(spark, d):
     results = rules.run_rule({"security_stats": security(spark, d)}, "6.a", C)
     return _verdict(results, C, ["total", "top_amount", "top_pct"])
-
-
-@query("run_all")
-def run_all(spark, d):
-    return rules.run_all(lens_tables(spark, d), keys=C).select(
-        *C, "id", "name", "status", "message"
-    )
