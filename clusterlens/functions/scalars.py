@@ -67,7 +67,7 @@ def dotted_part(c: ColumnOrName, n: int) -> Column:
 
 def last_part(c: ColumnOrName) -> Column:
     """Last segment of a dotted name."""
-    return F.split_part(_c(c), F.lit("."), F.lit(-1))
+    return F.substring_index(_c(c), ".", -1)
 
 
 def variant_path(*keys: str) -> str:

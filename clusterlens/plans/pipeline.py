@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clusterlens.extract import run_extractors
-from clusterlens.rules import coverage, run_all
+from clusterlens.rules import coverage, metric_names, run_all
+from clusterlens.rules.runner import COVERED
 from clusterlens.sources import (
     explode_snapshots,
     latest_nodes,
@@ -44,10 +45,13 @@ def ingest_documents(
 
 
 def write_coverage(spark: SparkSession, out: str, run_id: str) -> None:
-    """Row counts per table and cluster, from the key columns of the stored tables."""
-    stored = read_parquet_tables(spark, out, [run_id])
-    stored.pop("coverage", None)
-    write_tables({"coverage": coverage(stored)}, out, run_id)
+    """What the stored tables of a run hold, read from their key and name columns alone.
+
+    Rows per table and cluster let rules tell a missing table from a missing metric; the metric
+    names let them turn patterns into names that prune row groups.
+    """
+    stored = read_parquet_tables(spark, out, [run_id], names=COVERED)
+    write_tables({"coverage": coverage(stored), "metric_names": metric_names(stored)}, out, run_id)
 
 
 def ingest(spark: SparkSession, bundles: str, out: str, run_id: str) -> None:

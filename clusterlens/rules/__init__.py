@@ -1,7 +1,14 @@
 from clusterlens.rules import catalog, core  # noqa: F401  (registers the rules)
 from clusterlens.rules.integrity import validate_results
 from clusterlens.rules.registry import REGISTRY, Rule, rule
-from clusterlens.rules.runner import coverage, findings, run_all, run_catalog, run_rule
+from clusterlens.rules.runner import (
+    coverage,
+    findings,
+    metric_names,
+    run_all,
+    run_catalog,
+    run_rule,
+)
 
 __all__ = [
     "REGISTRY",
@@ -10,6 +17,7 @@ __all__ = [
     "core",
     "coverage",
     "findings",
+    "metric_names",
     "rule",
     "run_all",
     "run_catalog",

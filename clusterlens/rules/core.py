@@ -109,6 +109,32 @@ def first_alias(metrics: Sequence[str], value: Column, agg=F.sum) -> Column:
     return F.coalesce(*[agg(F.when(F.col("metric") == m, value)) for m in metrics])
 
 
+#: Longest IN list a pattern is turned into; beyond it the pattern itself is used.
+MAX_NAMES = 200
+
+
+def matching(tables: Tables, table: str, patterns: Sequence[str]) -> Column:
+    """Condition on ``metric``: LIKE any of the patterns.
+
+    With the stored metric names at hand the matching names are looked up first, at most
+    ``MAX_NAMES`` of them. An IN list skips every Parquet row group without such a metric, which a
+    pattern cannot. Without the names, or with too many matches, the pattern does the work.
+    """
+    cond = flt.like_any("metric", patterns)
+    if "metric_names" in tables:
+        found = (
+            tables["metric_names"]
+            .filter((F.col("table_name") == table) & cond)
+            .select("metric")
+            .distinct()
+            .limit(MAX_NAMES + 1)
+            .collect()
+        )
+        if len(found) <= MAX_NAMES:
+            return F.col("metric").isin(sorted(r.metric for r in found))
+    return cond
+
+
 # --- 1.a, 1.a2: error skew over nodes --------------------------------------------------------
 
 
@@ -267,25 +293,31 @@ def network_acceleration(
 
 
 def namespace_facts(
-    ns_stats: DataFrame,
+    tables: Tables,
     keys: Sequence[str],
     ids: Sequence[str],
     params: Mapping | None,
     strict_names: bool,
 ) -> DataFrame:
     """Wanted numbers per key, node and namespace, from one scan with hash aggregation."""
+    ns_stats = tables["namespace_stats"]
     m = F.col("metric")
     value = number(ns_stats)
-    busy_pattern = _params(params, "4.a")["pattern"]
+
+    def like(rule_id: str, patterns: Sequence[str]) -> Column:
+        return matching(tables, "namespace_stats", patterns) if rule_id in ids else F.lit(False)
+
+    busy = like("4.a", [_params(params, "4.a")["pattern"]])
+    used = like("5.a", CAPACITY_PATTERNS)
     read = READ_NOT_FOUND[1:] if strict_names else READ_NOT_FOUND
     delete = DELETE_NOT_FOUND[1:] if strict_names else DELETE_NOT_FOUND
     wanted = {
         "2.d": (m == DISK_USED, lambda v, c: F.max(F.when(c, v)), "disk"),
         "2.e": (m == MEMORY_USED, lambda v, c: F.max(F.when(c, v)), "memory"),
-        "4.a": (m.ilike(busy_pattern), lambda v, c: F.sum(F.when(c, v)), "busy"),
+        "4.a": (busy, lambda v, c: F.sum(F.when(c, v)), "busy"),
         "4.b": (m.isin(read), lambda v, c: first_alias(read, v), "read_miss"),
         "4.c": (m.isin(delete), lambda v, c: first_alias(delete, v), "delete_miss"),
-        "5.a": (flt.like_any("metric", CAPACITY_PATTERNS), lambda v, c: F.max(F.when(c, v)), "peak"),
+        "5.a": (used, lambda v, c: F.max(F.when(c, v)), "peak"),
     }
     wanted = {i: w for i, w in wanted.items() if i in ids}
     some = None
@@ -305,7 +337,7 @@ def namespace_rules(
     params: Mapping | None = None,
     strict_names: bool = False,
 ) -> DataFrame:
-    facts = namespace_facts(tables["namespace_stats"], keys, ids, params, strict_names)
+    facts = namespace_facts(tables, keys, ids, params, strict_names)
     aggs: list[Column] = []
     verdicts: list[tuple[Column, Column]] = []
 
@@ -452,9 +484,8 @@ def _entity_row(
 
 def version_entities(tables: Tables, keys: Sequence[str]) -> DataFrame:
     """1.c: nodes per version; a node's version is its first version metric by name."""
-    rows = flt.metric_ilike(tables["node_stats"], VERSION_PATTERNS).filter(
-        F.col("value").isNotNull()
-    )
+    named = matching(tables, "node_stats", VERSION_PATTERNS)
+    rows = tables["node_stats"].filter(named & F.col("value").isNotNull())
     per_node = rows.groupBy(*keys, "node_id").agg(
         F.min(F.struct("metric", "value")).getField("value").alias("version")
     )
@@ -480,9 +511,17 @@ def namespace_settings(
     second segment and the setting the last one. ``strict_names`` reads a sibling value only from
     the shortest spelling.
     """
-    like = flt.like_any("config_name", [f"namespace.%.{s}" for s in NAMESPACE_SETTINGS])
+    # LIKE 'namespace.%.<setting>' for all settings at once: the first segment, the last one, and
+    # at least one character's room for a segment between their dots.
+    name = F.col("config_name")
+    last = last_part("config_name")
+    wanted = (
+        (F.lower(F.substring(name, 1, 10)) == "namespace.")
+        & F.lower(last).isin(NAMESPACE_SETTINGS)
+        & (F.length(name) >= F.length(last) + 11)
+    )
     rows = (
-        node_configs.filter(like & F.col("value").isNotNull())
+        node_configs.filter(wanted & F.col("value").isNotNull())
         .select(
             *keys,
             "node_id",
@@ -543,7 +582,7 @@ def namespace_setting_entities(
     defrag, hwm = strict_int(defrag_text), strict_int(hwm_text)
     below_floor = defrag < int(pc["floor"])
     rows = {
-        "2.a": (
+        "2.a": lambda: (
             F.col("has_index_rows"),
             _entity_row(
                 "2.a",
@@ -552,7 +591,7 @@ def namespace_setting_entities(
                 F.col("index_flash") & F.col("has_sindex") & ~F.col("sindex_flash"),
             ),
         ),
-        "2.b": (
+        "2.b": lambda: (
             F.col("has_sprig_rows"),
             _entity_row(
                 "2.b",
@@ -563,7 +602,7 @@ def namespace_setting_entities(
                 score=sprigs,
             ),
         ),
-        "2.c": (
+        "2.c": lambda: (
             F.col("has_storage_rows"),
             _entity_row(
                 "2.c",
@@ -575,7 +614,7 @@ def namespace_setting_entities(
             ),
         ),
     }
-    return unpack(ns, keys, *[rows[i] for i in rows if i in ids])
+    return unpack(ns, keys, *[rows[i]() for i in rows if i in ids])
 
 
 def symmetry_entities(
@@ -665,8 +704,8 @@ def entities(
     return union_results(*parts)
 
 
-def _entity_verdicts() -> dict[str, Column]:
-    """Verdict of every entity rule over its counts: n_seen, n_flagged, n_broken, total, names."""
+def _entity_verdict(rule_id: str) -> Column:
+    """Verdict of an entity rule over its counts: n_seen, n_flagged, n_broken, total, names."""
     n, total, names = F.col("n_flagged"), F.col("total"), F.col("names")
     count = n.cast("string")
     broken = F.col("n_broken") > 0
@@ -689,21 +728,21 @@ def _entity_verdicts() -> dict[str, Column]:
             ).otherwise(message)
         return verdict(status, message, advice, ev)
 
-    return {
-        "1.c": judge(
+    verdicts = {
+        "1.c": lambda: judge(
             n > 1,
             msg("Nodes run %s different versions: %s.", count, names),
             msg("All nodes run the same version: %s.", names),
             "Mixed versions are for rolling upgrades only. Bring all nodes to one release.",
         ),
-        "2.a": judge(
+        "2.a": lambda: judge(
             n > 0,
             msg("%s namespaces keep secondary indexes in memory, the primary on flash: %s.", count, names),
             F.lit("Secondary indexes are placed like the primary index."),
             "An index that needs flash seldom fits beside others in memory. Move the secondary "
             "indexes of these namespaces to flash and restart node by node.",
         ),
-        "2.b": judge(
+        "2.b": lambda: judge(
             n > 0,
             msg("%s namespaces with an index on flash have few sprigs: %s.", count, names),
             F.lit("Sprig counts fit the index storage."),
@@ -711,34 +750,35 @@ def _entity_verdicts() -> dict[str, Column]:
             "cold start.",
             can_break=True,
         ),
-        "2.c": judge(
+        "2.c": lambda: judge(
             n > 0,
             msg("%s namespaces may fill up before space is reclaimed: %s.", count, names),
             F.lit("Space is reclaimed before records are evicted."),
             "Raise the defragmentation mark of these namespaces, or lower their high-water mark.",
             can_break=True,
         ),
-        "3.a": judge(
+        "3.a": lambda: judge(
             n > 0,
             msg("%s settings differ between nodes: %s.", count, names),
             F.lit("All settings are the same on every node."),
             "Uneven settings make some nodes slower than others. Compare the nodes and settle on "
             "one value for each.",
         ),
-        "3.b": judge(
+        "3.b": lambda: judge(
             total > 0,
             msg("%s running settings differ from the static ones: %s.", total.cast("string"), names),
             F.lit("Running and static settings agree."),
             "Run-time changes are lost at the next restart. Bring the static configuration up to "
             "date.",
         ),
-        "4.f": judge(
+        "4.f": lambda: judge(
             n > 0,
             msg("%s sets are unevenly spread over the nodes: %s.", count, names),
             F.lit("Sets are evenly spread over the nodes."),
             "Uneven sets fill some nodes early. Check how the partitions are spread.",
         ),
     }
+    return verdicts[rule_id]()
 
 
 def entity_rules(
@@ -775,11 +815,10 @@ def entity_rules(
         ).alias("names")
     )
     joined = counts.join(texts, on=by, how="left")
-    by_id = _entity_verdicts()
     v = None
     for rule_id in ids:
-        cond = F.col("id") == rule_id
-        v = F.when(cond, by_id[rule_id]) if v is None else v.when(cond, by_id[rule_id])
+        cond, judged = F.col("id") == rule_id, _entity_verdict(rule_id)
+        v = F.when(cond, judged) if v is None else v.when(cond, judged)
     return joined.select(*by, v.alias("v")).select(*by, "v.*")
 
 

@@ -38,6 +38,19 @@ def coverage(tables: Tables, keys: Sequence[str] = S.KEYS) -> DataFrame:
     return union_results(*parts)
 
 
+def metric_names(tables: Tables) -> DataFrame:
+    """Distinct metric names of the wide tables."""
+    return union_results(
+        *[
+            tables[name]
+            .select("run_id", F.lit(name).alias("table_name"), "metric")
+            .distinct()
+            for name in ("node_stats", "namespace_stats")
+            if name in tables
+        ]
+    )
+
+
 def clusters(tables: Tables, keys: Sequence[str] = S.KEYS) -> DataFrame:
     """Every known key, from the coverage."""
     return _coverage_of(tables, keys).select(*keys).distinct()

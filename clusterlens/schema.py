@@ -46,6 +46,15 @@ STATIC_CONFIGS = _table(node_id=_S, config_name=_S, value=_S)
 #: key, so a rule can tell "no such table" from "no such metric" without scanning the tables.
 COVERAGE = _table(table_name=_S, n_rows=_L)
 
+#: Distinct metric names per table, so that a LIKE becomes an IN list that Parquet can prune by.
+METRIC_NAMES = T.StructType(
+    [
+        T.StructField("run_id", T.StringType()),
+        T.StructField("table_name", T.StringType()),
+        T.StructField("metric", T.StringType()),
+    ]
+)
+
 RESULT_SCHEMA = _table(
     id=_S, name=_S, status=_S, message=_S, remediation=_S, evidence=T.MapType(_S, _D)
 )

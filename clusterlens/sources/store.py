@@ -22,7 +22,12 @@ CLUSTER_BY = {
     "set_stats": ["key"],
 }
 
-_SCHEMAS = {**S.TABLES, "static_configs": S.STATIC_CONFIGS, "coverage": S.COVERAGE}
+_SCHEMAS = {
+    **S.TABLES,
+    "static_configs": S.STATIC_CONFIGS,
+    "coverage": S.COVERAGE,
+    "metric_names": S.METRIC_NAMES,
+}
 
 _LOCAL_FOLDERS: dict[str, str] = {}
 
