@@ -69,12 +69,10 @@ def _not_a_number(block: Column, key: str) -> Column:
     return has_key(block, key) & unreadable
 
 
-def feature_conditions() -> dict[str, Column]:
-    """Condition of every feature over the payload of a node."""
-    stats = child(payload(), AS_STAT, "statistics")
+def feature_conditions(namespaces: Column) -> dict[str, Column]:
+    """Condition of every feature over a node: its payload, and the (counters, settings) pairs of
+    its namespaces."""
     config = child(payload(), AS_STAT, "config")
-    ns_config = child(config, "namespace")
-
     conds: dict[str, list[Column]] = {f: [] for f in FEATURES}
     for feature, keys in SERVICE_COUNTERS.items():
         conds[feature] += [
@@ -86,14 +84,8 @@ def feature_conditions() -> dict[str, Column]:
         conds["TLS"].append(number_above(config, "network", part, "tls-port"))
 
     def in_namespaces(test) -> Column:
-        """Does any namespace with statistics pass the test on its statistics and settings?"""
-
-        def one(e: Column) -> Column:
-            counters = child(e.getField("value"), "service")
-            settings = child(F.try_element_at(as_map(ns_config), e.getField("key")), "service")
-            return test(counters, settings)
-
-        return F.coalesce(F.exists(entries(child(stats, "namespace")), one), F.lit(False))
+        """Does any namespace pass the test on its counters and settings?"""
+        return F.exists(namespaces, lambda n: test(n.getField("counters"), n.getField("settings")))
 
     for feature, keys in NAMESPACE_COUNTERS.items():
         conds[feature].append(in_namespaces(lambda c, s, keys=keys: _counted(c, keys)))
@@ -119,17 +111,31 @@ def feature_conditions() -> dict[str, Column]:
     return {f: _any(c) for f, c in conds.items()}
 
 
+def namespace_pairs() -> Column:
+    """Counters and settings of every namespace that reports statistics."""
+    settings = as_map(child(payload(), AS_STAT, "config", "namespace"))
+    return F.transform(
+        entries(child(payload(), AS_STAT, "statistics", "namespace")),
+        lambda e: F.struct(
+            child(e.getField("value"), "service").alias("counters"),
+            child(F.try_element_at(settings, e.getField("key")), "service").alias("settings"),
+        ),
+    )
+
+
 @extractor("active_features")
 def detect_features(nodes: DataFrame) -> DataFrame:
     """Features per node. A TLS port that is no number leaves the node without any feature."""
     network = child(payload(), AS_STAT, "config", "network")
     broken = _any([_not_a_number(child(network, p), "tls-port") for p in ("service", "fabric")])
+    conds = feature_conditions(F.col("namespaces"))
     found = F.filter(
-        F.array(*[F.when(cond, F.lit(f)) for f, cond in feature_conditions().items()]),
+        F.array(*[F.when(cond, F.lit(f)) for f, cond in conds.items()]),
         lambda f: f.isNotNull(),
     )
     return (
         nodes.filter(F.col("node_id").isNotNull())
         .filter(~broken)
+        .select(*S.KEYS, "node_id", "payload", namespace_pairs().alias("namespaces"))
         .select(*S.KEYS, "node_id", F.explode(found).alias("feature"))
     )

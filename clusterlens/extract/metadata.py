@@ -97,25 +97,25 @@ def storage_flavor() -> Column:
     return F.when(F.size(kinds) > 0, F.array_join(kinds, "/")).otherwise(F.lit("MEMORY"))
 
 
-def cloud_platform(mode: str = "simple") -> Column:
-    """Platform by texts in the payload.
-
-    ``simple`` searches all of it; ``tiered`` searches settings, statistics and the node's name,
-    explicit cloud names first and address or naming habits after them.
-    """
+def searched_text(mode: str = "simple") -> Column:
+    """Text that gives the platform away, in lower case: all of the payload, or (``tiered``) its
+    settings, its statistics and the node's name."""
     if mode == "simple":
-        body = F.lower(F.to_json(payload()))
-        tiers = [("AWS", AWS_TEXTS), ("Azure", AZURE_TEXTS)]
-    elif mode == "tiered":
-        parts = [
-            F.coalesce(F.to_json(child(payload(), AS_STAT, "config")), F.lit("{}")),
-            F.coalesce(F.to_json(child(payload(), AS_STAT, "statistics")), F.lit("{}")),
-            F.col("node_id"),
-        ]
-        body, tiers = F.lower(F.concat(*parts)), TIERED_PLATFORMS
-    else:
+        return F.lower(F.to_json(payload()))
+    if mode != "tiered":
         raise ValueError(f"unknown mode {mode!r}")
-    (first, texts), *rest = tiers
+    parts = [
+        F.coalesce(F.to_json(child(payload(), AS_STAT, block)), F.lit("{}"))
+        for block in ("config", "statistics")
+    ]
+    return F.lower(F.concat(*parts, F.col("node_id")))
+
+
+def cloud_platform(body: Column, mode: str = "simple") -> Column:
+    """Platform by texts in the node's telemetry. ``tiered`` looks for explicit cloud names first,
+    and for habits of addresses and names after them."""
+    simple = [("AWS", AWS_TEXTS), ("Azure", AZURE_TEXTS)]
+    (first, texts), *rest = simple if mode == "simple" else TIERED_PLATFORMS
     out = F.when(contains_any(body, texts), F.lit(first))
     for platform, texts in rest:
         out = out.when(contains_any(body, texts), F.lit(platform))
@@ -134,13 +134,21 @@ def topology() -> Column:
 
 def node_metadata(nodes: DataFrame, platform_mode: str = "simple") -> DataFrame:
     """One row per node with all metadata as columns."""
-    version = server_version()
-    return nodes.filter(F.col("node_id").isNotNull()).select(
+    # The text is searched many times: it is a column of its own so that it is made once.
+    searched = nodes.filter(F.col("node_id").isNotNull()).select(
+        *S.KEYS,
+        "node_id",
+        "payload",
+        searched_text(platform_mode).alias("body"),
+        server_version().alias("version"),
+    )
+    version = F.col("version")
+    return searched.select(
         *S.KEYS,
         "node_id",
         version.alias("server_version"),
         major_version(version).alias("major_version"),
-        cloud_platform(platform_mode).alias("cloud_platform"),
+        cloud_platform(F.col("body"), platform_mode).alias("cloud_platform"),
         consistency_model().alias("consistency_model"),
         storage_flavor().alias("storage_flavor"),
         topology().alias("topology"),

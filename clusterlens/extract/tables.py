@@ -8,7 +8,16 @@ from pyspark.sql import functions as F
 from clusterlens import schema as S
 from clusterlens.extract.registry import extractor
 from clusterlens.functions import is_plain_number, lenient_bigint
-from clusterlens.functions.variants import MAX_DEPTH, as_map, child, entries, flatten, has_key, text
+from clusterlens.functions.variants import (
+    MAX_DEPTH,
+    as_map,
+    child,
+    entries,
+    flatten,
+    has_key,
+    open_levels,
+    text,
+)
 
 # Blocks that are no settings, and how an absent value is written in text columns.
 NOT_CONFIG = ["statistics", "meta_data", "histogram", "latency"]
@@ -21,13 +30,20 @@ def payload() -> Column:
     return F.col("payload")
 
 
-def flatten_payload(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """All leaves of the payload with dotted names; nulls are dropped."""
-    leaf = F.inline(flatten(payload(), max_depth))
+def flatten_payload(
+    nodes: DataFrame, max_depth: int = MAX_DEPTH, upper_levels: int = 3
+) -> DataFrame:
+    """All leaves of the payload with dotted names; nulls are dropped.
+
+    The upper levels become rows first, the trees below them are opened in one expression each.
+    """
+    levels = min(upper_levels, max_depth)
+    rows = open_levels(nodes.select(*S.KEYS, "node_id", "payload"), "payload", levels)
+    leaf = F.inline(flatten(F.col("held"), max_depth - levels, prefix=F.col("path")))
     return (
-        nodes.select(*S.KEYS, "node_id", leaf)
-        .filter(F.col("value").isNotNull())
-        .select(*S.KEYS, "node_id", F.col("path").alias("metric"), "value", "value_type")
+        rows.select(*S.KEYS, "node_id", leaf.alias("metric", "text", "value_type", "n_children"))
+        .filter(F.col("text").isNotNull())
+        .select(*S.KEYS, "node_id", "metric", F.col("text").alias("value"), "value_type")
     )
 
 

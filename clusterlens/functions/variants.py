@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clusterlens.functions.scalars import variant_path
@@ -26,6 +26,19 @@ def child(v: Column, *keys: str, as_type: str = "variant") -> Column:
     return F.try_variant_get(v, variant_path(*keys), as_type)
 
 
+def members(df: DataFrame, col: str, key: str, value: str) -> DataFrame:
+    """Rows of an object's members, as slices of its binary value; one row with nulls for anything
+    without members. A list counts as such: its first element is looked at to tell."""
+    no_list = F.when(F.try_variant_get(col, "$[0]", "variant").isNull(), F.col(col))
+    exploded = df.sparkSession.tvf.variant_explode_outer(F.col("_object").outer())
+    return (
+        df.withColumn("_object", no_list)
+        .lateralJoin(exploded)
+        .drop("_object", "pos")
+        .withColumnsRenamed({"key": key, "value": value})
+    )
+
+
 def has_key(v: Column, key: str) -> Column:
     return child(v, key).isNotNull()
 
@@ -57,13 +70,14 @@ def flatten(
     max_depth: int = MAX_DEPTH,
     skip: Callable[[Column], Column] | None = None,
     inner: bool = False,
+    prefix: Column | None = None,
 ) -> Column:
     """All leaves of an object as an array of (path, value, value_type, n_children).
 
     Paths are dotted. Empty objects vanish, arrays are leaves, and a text that happens to hold JSON
     stays a text. The whole tree is opened in one expression, so a table of payloads is read once
     whatever its depth. ``skip`` drops members of the top level by key; ``inner`` adds a row for
-    every object as well.
+    every object as well. With the ``prefix`` of its own path, a value that is no object is a leaf.
     """
 
     def row(path: Column, value: Column, sub: Column | None) -> Column:
@@ -79,22 +93,49 @@ def flatten(
             n.alias("n_children"),
         )
 
-    def leaves(members: Column, prefix: Column | None, depth: int) -> Column:
+    def leaves(sub: Column, prefix: Column | None, depth: int) -> Column:
         def one(e: Column) -> Column:
             key, value = e.getField("key"), e.getField("value")
             path = key if prefix is None else F.concat(prefix, F.lit("."), key)
             leaf = F.array(row(path, value, None))
             if depth <= 1:
                 return leaf
-            sub = as_map(value)
-            below = leaves(sub, path, depth - 1)
+            opened = as_map(value)
+            below = leaves(opened, path, depth - 1)
             if inner:
-                below = F.concat(F.array(row(path, value, sub)), below)
-            return F.when(sub.isNotNull(), below).otherwise(leaf)
+                below = F.concat(F.array(row(path, value, opened)), below)
+            return F.when(opened.isNotNull(), below).otherwise(leaf)
 
-        pairs = F.map_entries(members)
+        pairs = F.map_entries(sub)
         if prefix is None and skip is not None:
             pairs = F.filter(pairs, lambda e: ~skip(e.getField("key")))
         return F.flatten(F.transform(pairs, one))
 
-    return leaves(as_map(v), None, max_depth)
+    if prefix is None:
+        return leaves(as_map(v), None, max_depth)
+    whole = F.array(row(prefix, v, None))
+    if max_depth < 1:
+        return whole
+    return F.when(as_map(v).isNotNull(), leaves(as_map(v), prefix, max_depth)).otherwise(whole)
+
+
+def open_levels(df: DataFrame, col: str, levels: int) -> DataFrame:
+    """Opens the upper levels of an object: rows of (path, held) beside the other columns.
+
+    Members come as slices here, while opening a whole tree in one expression rewrites every leaf
+    once per level. Worth it near the root only, where members are few and large: a slice keeps
+    the key dictionary of the whole payload.
+    """
+    rest = [c for c in df.columns if c != col]
+    rows = df.select(*rest, F.lit(None).cast("string").alias("path"), F.col(col).alias("held"))
+    for _ in range(levels):
+        opened = members(rows, "held", "member_key", "member_value")
+        is_leaf = F.col("member_key").isNull()
+        rows = opened.select(
+            *rest,
+            F.when(is_leaf, F.col("path"))
+            .otherwise(F.concat_ws(".", "path", "member_key"))
+            .alias("path"),
+            F.when(is_leaf, F.col("held")).otherwise(F.col("member_value")).alias("held"),
+        )
+    return rows.filter(F.col("path").isNotNull())

@@ -67,7 +67,7 @@ def archives(spark: SparkSession, d: str) -> DataFrame:
                     with zipfile.ZipFile(inner, "w") as z:
                         z.writestr("ascinfo.json", data)
                     name, data = name + ".zip", inner.getvalue()
-                members = [("manifest.json", b" " * 100_000), ("empty.json", b"{}")]
+                members = [("manifest.json", b" " * 20_000), ("empty.json", b"{}")]
                 if n % 7 != 0:
                     members.append((name, data))
                 else:
@@ -94,7 +94,7 @@ def archives(spark: SparkSession, d: str) -> DataFrame:
     """SELECT 'b' || c_custkey AS bundle,
               CAST(1 + CASE WHEN c_custkey % 7 <> 0 THEN 2 ELSE 0 END + c_custkey % 3 + c_custkey % 2
                    AS BIGINT) AS members,
-              CAST(c_custkey % 3 + c_custkey % 2 + 100000 AS BIGINT) AS known_bytes
+              CAST(c_custkey % 3 + c_custkey % 2 + 20000 AS BIGINT) AS known_bytes
        FROM customer""",
 )
 def s1(spark, d):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clusterlens import schema as S
-from clusterlens.functions.variants import MAX_DEPTH, as_map, flatten
+from clusterlens.functions.variants import MAX_DEPTH, as_map, flatten, members
 
 # Spellings of a snapshot time beside the ISO ones, and the day that stands for a
 # time that cannot be read.
@@ -47,24 +47,26 @@ def explode_snapshots(documents: DataFrame, run_id: str) -> DataFrame:
     cluster without nodes as a row without a ``node_id``, so that one pass over the corpus serves
     nodes and rejects alike. Duplicate member names make a document unreadable.
     """
-    doc = F.try_parse_json("json")
-    parsed = documents.select("bundle", "member", "error", as_map(doc).alias("snapshots"))
-    error = F.coalesce(
-        "error", F.when(F.col("snapshots").isNull(), F.lit("not a JSON object"))
-    )
-    snaps = parsed.select(
+    parsed = documents.select(
         "bundle",
         "member",
-        error.alias("error"),
-        F.explode_outer("snapshots").alias("snapshot", "clusters"),
+        F.col("error").alias("failed"),
+        F.col("json").rlike(r"^\s*\{\s*\}\s*\z").alias("empty"),
+        F.try_parse_json("json").alias("doc"),
     )
-    clusters = snaps.select(
+    snaps = members(parsed, "doc", "snapshot", "clusters")
+    # Only an empty object has no members and is sound all the same.
+    no_object = F.col("snapshot").isNull() & ~F.coalesce("empty", F.lit(False))
+    snaps = snaps.select(
         "bundle",
         "member",
-        "error",
+        F.coalesce("failed", F.when(no_object, F.lit("not a JSON object"))).alias("error"),
         "snapshot",
-        F.explode_outer(as_map(F.col("clusters"))).alias("cluster_id", "nodes"),
+        "clusters",
     )
+    clusters = members(snaps, "clusters", "cluster_id", "nodes").drop("clusters")
+    # Casting an object to a map rewrites its members with a key dictionary of their own, so a
+    # payload does not carry the keys of the whole document. Once is enough.
     nodes = clusters.select(
         "bundle",
         "member",
