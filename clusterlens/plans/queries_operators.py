@@ -300,9 +300,9 @@ def j1(spark, d):
                   ORDER BY node_id, value) AS rn
          FROM lens_cfg)
        SELECT ns, coalesce(max(CASE WHEN setting = 'defrag-lwm-free-pct' THEN value END), '50')
-                AS "defrag-lwm-free-pct",
+                AS defrag,
               coalesce(max(CASE WHEN setting = 'high-water-disk-pct' THEN value END), '50')
-                AS "high-water-disk-pct"
+                AS hwm
        FROM k WHERE rn = 1 AND setting IN ('defrag-lwm-free-pct', 'high-water-disk-pct')
        GROUP BY ns""",
 )
@@ -320,7 +320,7 @@ def j2(spark, d):
         "value",
         ["node_id"],
         {"defrag-lwm-free-pct": "50", "high-water-disk-pct": "50"},
-    )
+    ).toDF("ns", "defrag", "hwm")
 
 
 @query(
@@ -538,14 +538,15 @@ def d3(spark, d):
 
 @query(
     "d4_first_names",
-    """SELECT cluster_id, node_id, list(config_name ORDER BY config_name) AS names FROM (
+    """SELECT cluster_id, node_id, string_agg(config_name, ', ' ORDER BY config_name) AS names FROM (
          SELECT cluster_id, node_id, config_name, row_number() OVER (
            PARTITION BY cluster_id, node_id ORDER BY config_name) AS rn
          FROM (SELECT DISTINCT cluster_id, node_id, config_name FROM lens_cfg) t) u
        WHERE rn <= 3 GROUP BY cluster_id, node_id""",
 )
 def d4(spark, d):
-    return op.first_n_names(lens(spark, d, "lens_cfg"), CN, "config_name", 3)
+    out = op.first_n_names(lens(spark, d, "lens_cfg"), CN, "config_name", 3)
+    return out.select(*CN, F.array_join("names", ", ").alias("names"))
 
 
 @query(

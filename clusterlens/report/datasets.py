@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 from clusterlens import schema as S
 from clusterlens.extract.metadata import UNKNOWN, index_location
 from clusterlens.functions import lenient_bigint, status_mark
-from clusterlens.operators import metric_ilike, metric_in, sort_findings, status_counts, sum_by
+from clusterlens.operators import (
+    count_distinct,
+    metric_ilike,
+    metric_in,
+    sort_findings,
+    status_counts,
+    sum_by,
+)
 from clusterlens.rules.runner import clusters
 
 # Defaults, patterns and names the datasets depend on.
@@ -54,9 +61,11 @@ def cluster_context(tables: Mapping[str, DataFrame], keys: Sequence[str] = S.KEY
             ]
         )
     )
-    sizes = tables["node_stats"].groupBy(*keys).agg(
-        F.countDistinct("node_id").alias("node_count")
-    )
+    if "coverage" in tables:
+        stats = tables["coverage"].filter(F.col("table_name") == "node_stats")
+        sizes = stats.select(*keys, F.col("n_nodes").alias("node_count"))
+    else:
+        sizes = count_distinct(tables["node_stats"], keys, "node_id", "node_count")
     # Features are a closed vocabulary, so the set of a cluster stays small.
     features = tables["active_features"].groupBy(*keys).agg(
         F.array_join(F.array_sort(F.collect_set("feature")), ", ").alias("active_features")

@@ -26,18 +26,41 @@ COVERED = [
 
 
 def coverage(tables: Tables, keys: Sequence[str] = S.KEYS) -> DataFrame:
-    """Rows per table and key. Reads only the key columns; the ingest stores the result."""
+    """Rows and nodes per table and key. Reads only key columns; the ingest stores the result."""
+
+    def counted(name: str) -> DataFrame:
+        df = tables[name]
+        if "node_id" not in df.columns:
+            out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+            return out.withColumn("n_nodes", F.lit(None).cast("bigint"))
+        # Rows of a node are counted before nodes are, so no task holds the nodes of a big cluster.
+        per_node = df.groupBy(*keys, "node_id").agg(F.count(F.lit(1)).alias("n"))
+        return per_node.groupBy(*keys).agg(
+            F.sum("n").alias("n_rows"), F.count("node_id").alias("n_nodes")
+        )
+
     parts = [
-        tables[name]
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n_rows"))
-        .select(*keys, F.lit(name).alias("table_name"), "n_rows")
+        counted(name).select(*keys, F.lit(name).alias("table_name"), "n_rows", "n_nodes")
         for name in COVERED
         if name in tables
     ]
     return union_results(*parts)
 
 
+def presence(tables: Tables, keys: Sequence[str] = S.KEYS) -> DataFrame:
+    """Rows per table and key, for tables that come without a stored coverage."""
+    return union_results(
+        *[
+            tables[name]
+            .groupBy(*keys)
+            .agg(F.count(F.lit(1)).alias("n_rows"))
+            .select(*keys, F.lit(name).alias("table_name"), "n_rows")
+            for name in COVERED
+            if name in tables
+        ]
+    )
+
+
 def metric_names(tables: Tables) -> DataFrame:
     """Distinct metric names of the wide tables."""
     return union_results(
@@ -57,7 +80,7 @@ def clusters(tables: Tables, keys: Sequence[str] = S.KEYS) -> DataFrame:
 
 
 def _coverage_of(tables: Tables, keys: Sequence[str]) -> DataFrame:
-    return tables["coverage"] if "coverage" in tables else coverage(tables, keys)
+    return tables["coverage"] if "coverage" in tables else presence(tables, keys)
 
 
 def _error_text(e: Exception) -> str:

@@ -42,9 +42,9 @@ TABLES: dict[str, T.StructType] = {
 #: Supplied by the caller, never by the ingest.
 STATIC_CONFIGS = _table(node_id=_S, config_name=_S, value=_S)
 
-#: How many rows each telemetry table holds for a snapshot of a cluster. One row per table and
-#: key, so a rule can tell "no such table" from "no such metric" without scanning the tables.
-COVERAGE = _table(table_name=_S, n_rows=_L)
+#: How many rows and nodes each telemetry table holds for a snapshot of a cluster. One row per table
+#: and key, so a rule can tell "no such table" from "no such metric" without scanning the tables.
+COVERAGE = _table(table_name=_S, n_rows=_L, n_nodes=_L)
 
 #: Distinct metric names per table, so that a LIKE becomes an IN list that Parquet can prune by.
 METRIC_NAMES = T.StructType(

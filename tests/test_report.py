@@ -4,6 +4,7 @@ import pytest
 
 from clusterlens import report
 from clusterlens import schema as S
+from clusterlens.rules import coverage
 from clusterlens.streaming import judge_arrivals
 from helpers import document, rows, tar_bytes
 
@@ -73,6 +74,7 @@ def test_context_and_narrative(spark):
     assert c.active_features == "KVS, XDR" and c.index_location == "Flash (All-Flash)"
     n = report.narrative(report.cluster_context(tables)).first()["narrative"]
     assert "prod" in n and "2 nodes" in n and "(SC)" in n and "Replication" in n
+    assert report.cluster_context({**tables, "coverage": coverage(tables)}).first() == c
     tables["active_features"] = table("active_features")
     assert report.cluster_context(tables).first().active_features == "None detected"
 
