@@ -97,7 +97,8 @@ def reject_documents(exploded: DataFrame) -> DataFrame:
 
 
 def latest_nodes(exploded: DataFrame) -> DataFrame:
-    """Nodes without rejects; of a node that several bundles hold, the last bundle's copy.
+    """Nodes without rejects; of a node that several bundles hold, the last bundle's copy, and within
+    a bundle the last of the snapshot names that mean the same time.
 
     Only the keys are shuffled to find such nodes. They are few, so AQE broadcasts them and the
     payloads stay where they are.
@@ -107,14 +108,14 @@ def latest_nodes(exploded: DataFrame) -> DataFrame:
     several = (
         nodes.filter(F.col("node_id").isNotNull())
         .groupBy(*id_)
-        .agg(F.max("bundle").alias("last_bundle"), F.count(F.lit(1)).alias("n"))
+        .agg(F.max(F.struct("bundle", "snapshot")).alias("last"), F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") > 1)
         .drop("n")
     )
     joined = nodes.join(several, on=id_, how="left")
     return joined.filter(
-        F.col("last_bundle").isNull() | (F.col("bundle") == F.col("last_bundle"))
-    ).drop("last_bundle")
+        F.col("last").isNull() | (F.struct("bundle", "snapshot") == F.col("last"))
+    ).drop("last")
 
 
 def profile_structure(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:

@@ -147,6 +147,17 @@ def test_latest_copy_of_a_node_wins(spark):
     assert rows(out, "node_id", "p") == [("n1", '{"v":2}'), ("n2", '{"v":3}')]
 
 
+def test_two_names_of_one_time_are_one_snapshot(spark):
+    doc = json.dumps(
+        {
+            "2024-01-01 00:00:00": {"c": {"n": {"v": 1}}},
+            "2024-01-01T00:00:00Z": {"c": {"n": {"v": 2}}},
+        }
+    )
+    nodes = latest_nodes(explode_snapshots(docs_frame(spark, [doc]), "r1"))
+    assert rows(nodes.select(F.to_json("payload").alias("p")), "p") == [('{"v":2}',)]
+
+
 def test_extracted_json_files(spark, tmp_path):
     (tmp_path / "a.json").write_bytes(DOC)
     docs = read_telemetry_json(spark, str(tmp_path))
