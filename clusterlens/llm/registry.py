@@ -6,6 +6,7 @@ import importlib
 
 #: Module and query of each operator.
 OPERATORS = {
+    "url_filter": "op1_url_filter",
     "line_dedup": "op3_line_dedup",
     "decontamination": "op7_decontamination",
     "language_id": "op8_language_id",
