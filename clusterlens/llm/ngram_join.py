@@ -10,13 +10,16 @@ at least t times the larger set, a set of n tokens needs a prefix of n - ceil(t
 1. All sets, in hash order: prefixes are lengthened by ``SPREAD`` of the set, and so many more of
    their tokens must be held by other sets too. Only counts come back. A set that shares boilerplate
    with thousands of others but is no near copy ends here.
-2. Remaining sets meet the first set of their min-hash bands and are verified. This is no filter: it
-   joins groups of near copies early, so that their pairs need not be listed.
+2. Remaining sets meet the first set of each of their min-hash bands and are verified. This is no
+   filter: it joins groups of near copies early, so that their pairs need not be listed.
 3. Remaining sets, rarest tokens first. Tokens that stay inside one component can tell nothing new
    and come first of all. For each set the prefix is lengthened to the l with the least estimated
    cost: list entries to read, plus candidates to verify, of which there are at most entries / l.
    Pairs of different components that share min(l, l') prefix tokens are verified on whole sets.
 
+A pair is met only if the parities of its sets allow it: each token flips one of ``PARITY`` bits of a
+set, so two sets differ in at least as many tokens as their bits differ. That is exact as well.
+
 Defined results: words are runs of ``[^\\x20\\t-\\r]`` after A-Z is lower-cased; a text with fewer
 words than a shingle is one token. Null and empty texts are empty sets, which link with nothing.
 Rows without an id have no component and are no one's representative. Repeated rows are copies.
@@ -40,6 +43,9 @@ PERCENT = 80
 #: Share of a set by which prefixes are lengthened in the first step.
 SPREAD = 0.1
 BANDS, ROWS = 12, 4
+#: Bits of a set's parity, in 64-bit words.
+PARITY = 1024
+WORDS = PARITY // 64
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[0x20] = False
@@ -206,17 +212,20 @@ def _tokens(size: int):
             for raw, offs in text_slices(batch.column("text")):
                 token, count = shingle_sets(raw, offs, size)
                 ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-                bands = _bands(token, count)
+                bands, parity = _bands(token, count), _parity(token, count)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(digests(token, count)),
                         pa.array(count.astype(np.int64)),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(token.view(np.int64))),
-                        pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), BANDS).cast(
-                            pa.list_(pa.int64())
+                        *(
+                            pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(
+                                pa.list_(pa.int64())
+                            )
+                            for x in (bands, parity)
                         ),
                     ],
-                    names=["digest", "n", "tokens", "bands"],
+                    names=["digest", "n", "tokens", "bands", "parity"],
                 )
 
     return run
@@ -238,6 +247,22 @@ def _bands(token: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
+def _parity(token: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """For each set, which of ``PARITY`` bits an odd number of tokens falls on."""
+    out = np.zeros((len(count), WORDS), np.int64)
+    doc = np.repeat(np.arange(len(count)), count)
+    bit = (mix(token ^ np.uint64(0x5DEECE66D)) % np.uint64(PARITY)).astype(np.int64)
+    step = 4096  # sets at a time
+    ends = np.cumsum(count)
+    for at in range(0, len(count), step):
+        to = min(at + step, len(count))
+        first, last = ends[at] - count[at], ends[to - 1]
+        odd = np.bincount((doc[first:last] - at) * PARITY + bit[first:last], minlength=(to - at) * PARITY)
+        bits = np.packbits((odd & 1).astype(np.uint8).reshape(to - at, PARITY), axis=1)
+        out[at:to] = bits.view(np.int64)
+    return out
+
+
 def _verify(percent: int):
     """Pairs (u, v) of those whose sets are similar enough."""
 
@@ -262,31 +287,44 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("u", "v", "left", "right").mapInArrow(_verify(percent), "u long, v long")
 
 
-def _fits(a: Column, b: Column, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _fits(a: str, b: str, percent: int) -> Column:
+    """Whether sizes and parities of two sets, the columns n and p0, p1, ... of a and b, let them link."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    differ = [F.bit_count(F.col(f"{a}.p{i}").bitwiseXOR(F.col(f"{b}.p{i}"))) for i in range(WORDS)]
+    # |x and y| >= t |x or y|, so they differ in (1 - t) / (1 + t) of |x| + |y| at most
+    near = sum(differ[1:], differ[0]) * (100 + percent) <= (n + m) * (100 - percent)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & near
+
+
+PARITIES = [f"p{i}" for i in range(WORDS)]
+
+
+def _parities(source: str = "parity") -> list[Column]:
+    return [F.col(source)[i].alias(p) for i, p in enumerate(PARITIES)]
 
 
 def first_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links of each set with the least set that one of its bands meets."""
-    bands = sets.select("digest", "n", F.posexplode("bands").alias("band", "sig"))
-    heads = bands.groupBy("band", "sig").agg(
-        F.min(F.struct("digest", "n")).alias("head"), F.count("*").alias("held")
-    )
-    heads = heads.filter("held > 1").select("band", "sig", "head")
-    pairs = (
-        bands.join(heads, ["band", "sig"])
-        .filter((F.col("head.digest") < F.col("digest")) & _fits(F.col("head.n"), F.col("n"), percent))
-        .groupBy("digest")
-        .agg(F.min("head.digest").alias("u"))
-        .select("u", F.col("digest").alias("v"))
+    """Links of each set with the least set that each of its bands meets."""
+    bands = sets.select("digest", F.posexplode("bands").alias("band", "sig"))
+    heads = bands.groupBy("band", "sig").agg(F.min("digest").alias("u"), F.count("*").alias("held"))
+    heads = heads.filter("held > 1").select("band", "sig", "u")
+    pairs = bands.join(heads, ["band", "sig"]).filter("u < digest")
+    pairs = pairs.select("u", F.col("digest").alias("v")).distinct()
+    traits = sets.select("digest", "n", *_parities())
+    met = (
+        pairs.alias("e")
+        .join(traits.alias("a"), F.col("e.u") == F.col("a.digest"))
+        .join(traits.alias("b"), F.col("e.v") == F.col("b.digest"))
+        .filter(_fits("a", "b", percent))
+        .select("e.u", "e.v")
     )
-    return verified(pairs, sets, percent)
+    return verified(met, sets, percent)
 
 
 def candidate_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of sets of different components that share enough tokens of their prefixes."""
     named = sets.join(labels, sets["digest"] == labels["vertex"], "left").select(
-        "digest", "n", "tokens", F.coalesce("component", "digest").alias("component")
+        "digest", "n", "tokens", "parity", F.coalesce("component", "digest").alias("component")
     )
     rows = named.select("digest", "n", "component", F.explode("tokens").alias("token"))
     lists = rows.groupBy("token").agg(
@@ -312,17 +350,19 @@ def candidate_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFra
     )
     prefix = staged(
         best.filter(F.col("l") <= F.col("best.l")).select(
-            "token", "digest", "n", "component", F.col("best.l").alias("l")
+            "token", "digest", F.col("best.l").alias("l")
         ),
         "prefixes",
     )
+    traits = named.select("digest", "n", "component", *_parities())
+    prefix = prefix.join(traits, "digest")
     a, b = prefix.alias("a"), prefix.alias("b")
     met = a.join(
         b,
         (F.col("a.token") == F.col("b.token"))
         & (F.col("a.digest") < F.col("b.digest"))
         & (F.col("a.component") != F.col("b.component"))
-        & _fits(F.col("a.n"), F.col("b.n"), percent),
+        & _fits("a", "b", percent),
     )
     return (
         met.groupBy(F.col("a.digest").alias("u"), F.col("b.digest").alias("v"))
@@ -347,7 +387,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     )
     texts = docs.join(heads, "doc_id", "left_semi").select("text")
     near_tokens = staged(
-        texts.mapInArrow(_tokens(size), "digest long, n long, tokens array<long>, bands array<long>")
+        texts.mapInArrow(_tokens(size), "digest long, n long, tokens array<long>, bands array<long>, parity array<long>")
         .filter("n > 0")
         .dropDuplicates(["digest"]),
         "shingle-sets",
