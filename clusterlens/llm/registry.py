@@ -7,6 +7,7 @@ import importlib
 #: Module and query of each operator.
 OPERATORS = {
     "url_filter": "op1_url_filter",
+    "embedding_dedup": "op2_embedding_dedup",
     "line_dedup": "op3_line_dedup",
     "decontamination": "op7_decontamination",
     "language_id": "op8_language_id",
