@@ -147,7 +147,7 @@ def _prefix_packets(size: int, percent: int, buckets: int):
                 tokens.append(token[take])
                 owners.append(np.repeat(digest, prefix))
                 held += len(tokens[-1])
-                if held > 4_000_000:
+                if held > 1_500_000:
                     yield flush(tokens, owners)
                     tokens, owners, held = [], [], 0
         if held:

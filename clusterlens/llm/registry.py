@@ -9,6 +9,9 @@ OPERATORS = {
     "url_filter": "op1_url_filter",
     "embedding_dedup": "op2_embedding_dedup",
     "line_dedup": "op3_line_dedup",
+    "token_counts": "op4_token_counts",
+    "secret_scan": "op5_secret_scan",
+    "toxicity": "op6_toxicity",
     "decontamination": "op7_decontamination",
     "language_id": "op8_language_id",
     "ngram_join": "op9_ngram_join",
