@@ -3,9 +3,9 @@
 Learning: documents that hold a word are counted among toxic and other labelled rows, over all of
 them. A word's weight is its log-odds between the two, under a Dirichlet prior of ``PRIOR`` documents
 spread as the word is over both, and half a document. Words that two documents or fewer hold, or whose
-log-odds are less than ``MIN_Z`` standard deviations from zero, say nothing; every other word, and every unknown one, costs
-``DRIFT``, so a clean text drifts downwards. The number of words with a weight is bounded by the
-counts: of every word with a weight a share of ``MIN_SHARE`` of the toxic or the other documents has it.
+log-odds are below ``MIN_ODDS`` or less than ``MIN_Z`` standard deviations, say nothing. Every word costs
+``DRIFT``, known or not, so a clean text drifts downwards. The number of words with a weight is bounded by
+the counts: of each a share of ``MIN_SHARE`` of the toxic or the other documents has it.
 
 Scoring: one pass over a text finds all its maximal-scoring segments (each the best within itself,
 none contained in another), in linear time. Segment scores of chance texts follow an extreme-value
@@ -37,6 +37,7 @@ from clusterlens.llm.common import held_out, read, staged
 
 PRIOR = 10.0
 MIN_Z = 3.0
+MIN_ODDS = 2.0
 MIN_SHARE = 2e-4
 DRIFT = -1.0
 #: No word weighs more than this, either way.
@@ -167,8 +168,12 @@ def train(rows: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model:
     chosen = (
         words.filter("n1 + n0 > 2")
         .withColumns({"odds": odds, "z": z})
-        .filter((F.abs("z") >= MIN_Z) & ((F.col("n1") >= MIN_SHARE * n1) | (F.col("n0") >= MIN_SHARE * n0)))
-        .select("word", F.greatest(F.least("odds", F.lit(MAX_WEIGHT)), F.lit(-MAX_WEIGHT)).alias("odds"), "n0")
+        .filter((F.abs("z") >= MIN_Z) & (F.abs("odds") >= MIN_ODDS) & ((F.col("n1") >= MIN_SHARE * n1) | (F.col("n0") >= MIN_SHARE * n0)))
+        .select(
+            "word",
+            (F.greatest(F.least("odds", F.lit(MAX_WEIGHT)), F.lit(-MAX_WEIGHT)) + DRIFT).alias("odds"),
+            "n0",
+        )
     )
     picked = chosen.toArrow().to_pydict()
     weights = dict(zip(picked["word"], picked["odds"], strict=True))
