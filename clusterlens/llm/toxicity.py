@@ -1,7 +1,7 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Learning: documents that hold a word are counted among toxic and other labelled rows, over all of
-them. A word's weight is its log-odds between the two, under a Dirichlet prior of ``PRIOR`` documents
+Learning: the labelled rows, or a sample of about ``LEARNING_ROWS`` of them where there are more, whose
+ids and labels are sent to the tasks. Documents that hold a word are counted among toxic and other learning rows. A word's weight is its log-odds between the two, under a Dirichlet prior of ``PRIOR`` documents
 spread as the word is over both, and half a document. Words that two documents or fewer hold, or whose
 log-odds are below ``MIN_ODDS`` or less than ``MIN_Z`` standard deviations, say nothing. Every word costs
 ``DRIFT``, known or not, so a clean text drifts downwards. The number of words with a weight is bounded by
@@ -42,6 +42,8 @@ MIN_SHARE = 2e-4
 DRIFT = -1.0
 #: No word weighs more than this, either way.
 MAX_WEIGHT = 6.0
+#: Bounds of the samples for weights and for the curve.
+LEARNING_ROWS = 200_000
 CALIBRATION_ROWS = 20_000
 
 WORD = re.compile(r"[^\W_]+")
@@ -154,7 +156,7 @@ def _vocabulary(rows: DataFrame) -> DataFrame:
 def train(rows: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model:
     """Model of labelled rows (text, toxic)."""
     rows = rows.select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    rows = staged(rows.filter("toxic in (0, 1)"), "toxic-rows")
+    rows = rows.filter("toxic in (0, 1)")
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
@@ -268,11 +270,17 @@ def passages(model: Model, text: Column, spark: SparkSession) -> Column:
     return run(text)
 
 
-def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts and labels of rows with an id outside the held-out fold; a label per id."""
+def learning_rows(docs: DataFrame, labels: DataFrame, limit: int = LEARNING_ROWS) -> DataFrame:
+    """Texts and labels of rows with an id outside the held-out fold; a label per id.
+
+    A hash of the id picks about ``limit`` of them where there are more, so the ids can be broadcast
+    and no text is shuffled.
+    """
     marks = labels.filter(~held_out(F.col("doc_id"), 3, 1)).select("doc_id", "toxic").dropna()
+    every = max(1, -(-marks.count() // limit))
+    marks = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(marks, "doc_id").select("text", "toxic")
+    return docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("text", "toxic")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
