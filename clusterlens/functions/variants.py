@@ -58,7 +58,9 @@ def text(v: Column) -> Column:
 
 def number_above(v: Column, *keys: str, threshold: float = 0.0) -> Column:
     """Is the member a number, or a text that is one, above the threshold? Never null."""
-    return F.coalesce(child(v, *keys, as_type="double") > threshold, F.lit(False))
+    value = child(v, *keys, as_type="double")
+    # Spark orders NaN above all numbers, but it exceeds none of them.
+    return F.coalesce((value > threshold) & ~F.isnan(value), F.lit(False))
 
 
 def is_true(v: Column, *keys: str) -> Column:

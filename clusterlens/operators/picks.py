@@ -78,9 +78,12 @@ def first_n_names(df: DataFrame, keys: Sequence[str], col: str, n: int = 3) -> D
     return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(col)).alias("names"))
 
 
-def sort_findings(results: DataFrame) -> DataFrame:
-    """Results in the order of their ids."""
-    return results.orderBy("id")
+def sort_findings(results: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Results in the order of their ids, and of the keys within an id.
+
+    The ids are few; the keys let the rows of one id be dealt over many tasks.
+    """
+    return results.orderBy("id", *keys)
 
 
 def union_results(*dfs: DataFrame) -> DataFrame:

@@ -7,8 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterlens.extract import run_extractors
+from clusterlens import schema as S
+from clusterlens.extract import EXTRACTORS, run_extractors
 from clusterlens.rules import coverage, metric_names, run_all
+from clusterlens.rules.registry import REGISTRY
 from clusterlens.rules.runner import COVERED
 from clusterlens.sources import (
     explode_snapshots,
@@ -17,20 +19,27 @@ from clusterlens.sources import (
     read_parquet_tables,
     read_results,
     reject_documents,
+    repeated_nodes,
+    staged,
     telemetry_documents,
     write_findings,
     write_tables,
 )
-from clusterlens.sources.store import run_path
+from clusterlens.sources.store import TABLE_NAMES, run_path
 
 
 def ingest_documents(
-    documents: DataFrame, out: str, run_id: str, extractors: Mapping | None = None
+    documents: DataFrame,
+    out: str,
+    run_id: str,
+    extractors: Mapping | None = None,
+    static_configs: DataFrame | None = None,
 ) -> None:
-    """Documents to stored tables.
+    """Documents to stored tables, beside the settings that are meant to be in force, if given.
 
     The exploded nodes are written once, with parsed payloads; every extractor then reads that
-    table instead of the archives. Executors may come and go: each step starts from stored files.
+    table instead of the archives, and the nodes held several times are found once for all of
+    them. Executors may come and go: each step starts from stored files.
     """
     spark = documents.sparkSession
     nodes_path = run_path(out, "nodes", run_id)
@@ -38,7 +47,17 @@ def ingest_documents(
     exploded.write.mode("overwrite").parquet(nodes_path)
     exploded = spark.read.schema(exploded.schema).parquet(nodes_path)
 
-    tables = run_extractors(latest_nodes(exploded), extractors)
+    repeated = staged(repeated_nodes(exploded), "repeated")
+    nodes = latest_nodes(exploded, repeated)
+    tables = run_extractors(nodes, extractors)
+    # A table whose extractor failed has no rows in this run, whatever an earlier one has stored.
+    for table in set(extractors or EXTRACTORS) - set(tables):
+        schema = S.TABLES.get(table)
+        tables[table] = (
+            spark.createDataFrame([], schema) if schema else nodes.select(*S.KEYS).limit(0)
+        )
+    if static_configs is not None:
+        tables["static_configs"] = static_configs
     write_tables(tables, out, run_id)
     write_tables({"rejects": reject_documents(exploded)}, out, run_id)
     write_coverage(spark, out, run_id)
@@ -54,13 +73,22 @@ def write_coverage(spark: SparkSession, out: str, run_id: str) -> None:
     write_tables({"coverage": coverage(stored), "metric_names": metric_names(stored)}, out, run_id)
 
 
-def ingest(spark: SparkSession, bundles: str, out: str, run_id: str) -> None:
+def ingest(
+    spark: SparkSession,
+    bundles: str,
+    out: str,
+    run_id: str,
+    static_configs: DataFrame | None = None,
+) -> None:
     """A corpus of bundles to the stored tables of one run."""
-    ingest_documents(telemetry_documents(read_bundles(spark, bundles)), out, run_id)
+    documents = telemetry_documents(read_bundles(spark, bundles))
+    ingest_documents(documents, out, run_id, static_configs=static_configs)
 
 
 def analyze(spark: SparkSession, out: str, run_id: str, **options) -> DataFrame:
     """All rules over the stored tables of a run; the results are stored beside them."""
-    tables = read_parquet_tables(spark, out, [run_id])
+    plugged = [*EXTRACTORS, *(r.table for r in REGISTRY.values())]
+    names = list(dict.fromkeys([*TABLE_NAMES, *plugged]))
+    tables = read_parquet_tables(spark, out, [run_id], names)
     write_findings(run_all(tables, **options), out, run_id)
     return read_results(spark, out).filter(F.col("run_id") == run_id)

@@ -275,7 +275,7 @@ def p3(spark, d):
           || node_count || ' nodes as a ' || CASE WHEN consistency LIKE 'Strong%'
             THEN 'strongly consistent (SC)' ELSE 'highly available (AP)' END
           || ' deployment; the findings put ' || CASE WHEN consistency LIKE 'Strong%'
-            THEN 'partition safety and transaction integrity' ELSE 'throughput and headroom' END
+            THEN 'safe writes while the network is split' ELSE 'throughput and headroom' END
           || ' first.' || CASE WHEN topology = 'XDR Enabled'
             THEN ' Replication between data centers is on, so watch the bandwidth between them.'
             ELSE '' END AS narrative

@@ -557,7 +557,7 @@ def d4(spark, d):
 )
 def d5(spark, d):
     tables = {"namespace_stats": lens(spark, d, "lens_ns_counters")}
-    return op.sort_findings(rules.run_all(tables, ["4.c", "4.b"], C)).select(
+    return op.sort_findings(rules.run_all(tables, ["4.c", "4.b"], C), C).select(
         *C, "id", "status", F.col("evidence")["total"].alias("total")
     )
 

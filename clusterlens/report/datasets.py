@@ -156,7 +156,7 @@ def narrative(context: DataFrame, keys: Sequence[str] = S.KEYS) -> DataFrame:
         F.when(strong, F.lit("strongly consistent (SC)")).otherwise(
             F.lit("highly available (AP)")
         ),
-        F.when(strong, F.lit("partition safety and transaction integrity")).otherwise(
+        F.when(strong, F.lit("safe writes while the network is split")).otherwise(
             F.lit("throughput and headroom")
         ),
     )
@@ -191,7 +191,7 @@ def appendix(results: DataFrame, keys: Sequence[str] = S.KEYS) -> DataFrame:
         F.concat_ws(" ", status_mark("status", "appendix"), F.col("status")).alias("status"),
         F.trim(F.coalesce("message", F.lit(""))).alias("summary"),
     )
-    return sort_findings(rows)
+    return sort_findings(rows, keys)
 
 
 def disk_usage(ns_stats: DataFrame, keys: Sequence[str] = S.KEYS) -> DataFrame:

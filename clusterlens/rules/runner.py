@@ -47,7 +47,9 @@ def coverage(tables: Tables, keys: Sequence[str] = S.KEYS) -> DataFrame:
     return union_results(*parts)
 
 
-def presence(tables: Tables, keys: Sequence[str] = S.KEYS) -> DataFrame:
+def presence(
+    tables: Tables, keys: Sequence[str] = S.KEYS, names: Sequence[str] = tuple(COVERED)
+) -> DataFrame:
     """Rows per table and key, for tables that come without a stored coverage."""
     return union_results(
         *[
@@ -55,7 +57,7 @@ def presence(tables: Tables, keys: Sequence[str] = S.KEYS) -> DataFrame:
             .groupBy(*keys)
             .agg(F.count(F.lit(1)).alias("n_rows"))
             .select(*keys, F.lit(name).alias("table_name"), "n_rows")
-            for name in COVERED
+            for name in names
             if name in tables
         ]
     )
@@ -79,12 +81,23 @@ def clusters(tables: Tables, keys: Sequence[str] = S.KEYS) -> DataFrame:
     return _coverage_of(tables, keys).select(*keys).distinct()
 
 
-def _coverage_of(tables: Tables, keys: Sequence[str]) -> DataFrame:
-    return tables["coverage"] if "coverage" in tables else presence(tables, keys)
+def _coverage_of(tables: Tables, keys: Sequence[str], rules: Sequence[Rule] = ()) -> DataFrame:
+    """Rows per table and key: as stored for the tables that the coverage lists, counted here for
+    every other table that makes clusters known or that one of the rules reads.
+
+    Which tables the coverage lists is a lookup of a few names, made while the plan is built.
+    """
+    names = list(dict.fromkeys([*COVERED, *(r.table for r in rules)]))
+    if "coverage" not in tables:
+        return presence(tables, keys, names)
+    stored = tables["coverage"].select(*keys, "table_name", "n_rows")
+    listed = {r.table_name for r in stored.select("table_name").distinct().collect()}
+    rest = [name for name in names if name in tables and name not in listed]
+    return stored.unionByName(presence(tables, keys, rest)) if rest else stored
 
 
 def _error_text(e: Exception) -> str:
-    return "Error: " + str(e).splitlines()[0][:300]
+    return f"Error: {e}"
 
 
 def _available(rule: Rule, tables: Tables) -> bool:
@@ -149,7 +162,7 @@ def _grid(
 
     def spec(r: Rule) -> str:
         """SQL text of one rule's struct: one expression instead of dozens of Column calls."""
-        present = f"coalesce(n_{r.table}, 0) > 0"
+        present = f"coalesce(`n_{r.table}`, 0) > 0"
         status = f"if({present}, {_quoted(r.empty[0])}, {_quoted(r.missing[0])})"
         message = f"if({present}, {_quoted(r.empty[1])}, {_quoted(r.missing[1])})"
         if r.id in errors:
@@ -215,7 +228,7 @@ def run_all(
     if rules is None:
         rules = RULE_ORDER + [r.id for r in REGISTRY.values() if r.tier == "plugin" and r.listed]
     chosen = [REGISTRY[i] for i in rules]
-    cov = _coverage_of(tables, keys)
+    cov = _coverage_of(tables, keys, chosen)
     frames, errors = _verdicts(tables, chosen, keys, params or {}, strict_names)
     return complete(cov, frames, chosen, keys, errors)
 

@@ -20,6 +20,7 @@ from clusterlens.sources.telemetry import (
     profile_structure,
     read_telemetry_json,
     reject_documents,
+    repeated_nodes,
     snapshot_time,
 )
 
@@ -36,6 +37,7 @@ __all__ = [
     "read_results",
     "read_telemetry_json",
     "reject_documents",
+    "repeated_nodes",
     "shared_folder",
     "snapshot_time",
     "staged",

@@ -29,13 +29,28 @@ CATEGORIES = ["telemetry", "configs", "logs", "other"]
 MEMBER_SCHEMA = "bundle string, ord bigint, member string, size bigint, error string"
 DOCUMENT_SCHEMA = "bundle string, member string, size bigint, json string, error string"
 
+#: Longest archive that fits a row of Spark, which ends at 2 GB with all its columns.
+LONGEST_ARCHIVE = 2**31 - 2**20
+
 
 def read_bundles(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """Archives of a folder or glob, as (bundle, content)."""
+    """Archives of a folder or glob, as (bundle, content).
+
+    An archive that is too long for one binary value would stop the whole read. Such an archive is
+    listed by its name alone, with a null content, and ends among the rejects.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(path).select(F.col("path").alias("bundle"), "content")
+    files = reader.load(path).withColumnRenamed("path", "bundle")
+    longest = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(2**31 - 1)))
+    # The length is a filter of the scan, so the content of a longer archive is not asked for.
+    fits = F.col("length") <= min(longest, LONGEST_ARCHIVE)
+    return (
+        files.filter(fits)
+        .select("bundle", "content")
+        .unionByName(files.filter(~fits).select("bundle", F.lit(None).cast("binary").alias("content")))
+    )
 
 
 def is_candidate(name: str) -> bool:
@@ -59,6 +74,12 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
             yield bundle.as_py(), content.as_py()
 
 
+def _archive(content: bytes | None) -> tarfile.TarFile:
+    if content is None:
+        raise OverflowError("the archive is too long to be read as one value")
+    return tarfile.open(fileobj=io.BytesIO(content), mode="r:*")
+
+
 def _batch(columns: dict[str, tuple[pa.DataType, list]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(values, type=t) for t, values in columns.values()], names=list(columns)
@@ -72,7 +93,7 @@ def list_members(bundles: DataFrame) -> DataFrame:
         for bundle, content in _rows(batches):
             names, sizes, error = [], [], None
             try:
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
+                with _archive(content) as tar:
                     for m in tar:
                         names.append(m.name)
                         sizes.append(m.size)
@@ -120,7 +141,7 @@ def telemetry_documents(bundles: DataFrame) -> DataFrame:
         for bundle, content in _rows(batches):
             name = size = text = error = None
             try:
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
+                with _archive(content) as tar:
                     found = [m for m in tar.getmembers() if is_candidate(m.name)]
                     if found:
                         member = max(found, key=lambda m: m.size)

@@ -29,6 +29,9 @@ _SCHEMAS = {
     "metric_names": S.METRIC_NAMES,
 }
 
+# Characters that Spark escapes in the folder name of a partition value.
+ESCAPED = frozenset("\"#%'*/:=?\\{[]^\x7f") | {chr(i) for i in range(1, 32)}
+
 _LOCAL_FOLDERS: dict[str, str] = {}
 
 
@@ -60,7 +63,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def run_path(path: str, table: str, run_id: str) -> str:
-    return f"{path.rstrip('/')}/{table}/run_id={run_id}"
+    """Folder of a run, named as Spark names partitions, so that reading gives the same id."""
+    name = "".join(f"%{ord(c):02X}" if c in ESCAPED else c for c in run_id)
+    return f"{path.rstrip('/')}/{table}/run_id={name}"
+
+
+#: Tables that are not made by plug-ins.
+TABLE_NAMES = tuple(_SCHEMAS)
 
 
 def write_table(df: DataFrame, path: str, table: str, run_id: str) -> None:
@@ -78,8 +87,19 @@ def write_tables(tables: Mapping[str, DataFrame], path: str, run_id: str) -> Non
         write_table(df, path, table, run_id)
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
+def _stored_schema(spark: SparkSession, path: str) -> T.StructType:
+    """Schema of a plug-in's table, from its files; the run is a text whatever it looks like."""
+    found = spark.read.option("mergeSchema", "true").parquet(path).schema
+    return T.StructType(
+        [T.StructField("run_id", T.StringType()), *[f for f in found if f.name != "run_id"]]
+    )
+
+
+def _read(
+    spark: SparkSession, path: str, schema: T.StructType | None, fmt: str = "parquet"
+) -> DataFrame:
     """All runs under a path, with the run as a partition column in its place in the schema."""
+    schema = schema or _stored_schema(spark, path)
     df = spark.read.schema(schema).option("basePath", path).format(fmt).load(path)
     return df.select(*schema.names)
 
@@ -90,13 +110,16 @@ def read_parquet_tables(
     run_ids: Sequence[str] | None = None,
     names: Sequence[str] | None = None,
 ) -> dict[str, DataFrame]:
-    """Stored tables of all runs, or of some: the run is a partition, so others are not read."""
+    """Stored tables of all runs, or of some: the run is a partition, so others are not read.
+
+    ``names`` may hold tables of plug-ins; their schemas come from the files.
+    """
     tables: dict[str, DataFrame] = {}
     for name in names or _SCHEMAS:
         try:
-            df = _read(spark, f"{path.rstrip('/')}/{name}", _SCHEMAS[name])
+            df = _read(spark, f"{path.rstrip('/')}/{name}", _SCHEMAS.get(name))
         except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
             continue
         if run_ids is not None:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clusterlens import schema as S
-from clusterlens.functions.variants import MAX_DEPTH, as_map, flatten, members
+from clusterlens.functions.variants import MAX_DEPTH, flatten
 
 # Spellings of a snapshot time beside the ISO ones, and the day that stands for a
 # time that cannot be read.
@@ -14,6 +19,18 @@ TIME_FORMATS = ["yyyyMMdd_HHmmss", "yyyy-MM-dd HH:mm:ss z", "yyyy/MM/dd HH:mm:ss
 NO_TIME = "0001-01-02 00:00:00"
 DAY_MICROS = 86_400_000_000
 
+DOCUMENT_COLUMNS = ["bundle", "member", "json", "error"]
+NODE_COLUMNS = ["bundle", "member", "error", "snapshot", "cluster_id", "node_id", "body"]
+
+#: Characters of node texts after which a batch is handed on.
+BATCH_CHARS = 16 << 20
+
+SPACE = re.compile(r"[ \t\n\r]*")
+DECODER = json.JSONDecoder()
+
+#: Reads the value at a place of a text; gives the value and where it ends.
+Reader = Callable[[str, int], tuple[object, int]]
+
 
 def snapshot_time(text: Column) -> Column:
     """Snapshot time of a free-form text.
@@ -40,43 +57,123 @@ def read_telemetry_json(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _after_space(text: str, at: int) -> int:
+    return SPACE.match(text, at).end()
+
+
+def _members_at(text: str, at: int, read: Reader) -> tuple[dict | None, int]:
+    """Members of the object that begins here, each value read by ``read``, and where it ends; the
+    last of equal names counts. Null for a value that is no object."""
+    if text[at : at + 1] != "{":
+        return None, DECODER.raw_decode(text, at)[1]
+    found: dict = {}
+    at = _after_space(text, at + 1)
+    if text[at : at + 1] == "}":
+        return found, at + 1
+    while True:
+        if text[at : at + 1] != '"':
+            raise json.JSONDecodeError("a member name is missing", text, at)
+        name, at = json.decoder.scanstring(text, at + 1)
+        at = _after_space(text, at)
+        if text[at : at + 1] != ":":
+            raise json.JSONDecodeError("a colon is missing", text, at)
+        # Half a surrogate pair is no text that Arrow could hold.
+        name = name.encode("utf-8", "replace").decode()
+        found[name], at = read(text, _after_space(text, at + 1))
+        at = _after_space(text, at)
+        end = text[at : at + 1]
+        if end == "}":
+            return found, at + 1
+        if end != ",":
+            raise json.JSONDecodeError("a comma is missing", text, at)
+        at = _after_space(text, at + 1)
+
+
+def _node_at(text: str, at: int) -> tuple[str, int]:
+    """The text of the node that begins here, as it stands. NaN and the infinities, which are no
+    JSON, become texts of that name."""
+    odd: list[str] = []
+
+    def constant(name: str) -> str:
+        odd.append(name)
+        return name
+
+    value, end = json.JSONDecoder(parse_constant=constant).raw_decode(text, at)
+    return (json.dumps(value) if odd else text[at:end]), end
+
+
+def _clusters_at(text: str, at: int) -> tuple[dict | None, int]:
+    return _members_at(text, at, lambda t, i: _members_at(t, i, _node_at))
+
+
+def split_document(text: str | None) -> Iterator[tuple[str, str, str | None, str | None]]:
+    """(snapshot, cluster, node, node's text) of a document; a cluster without nodes has nulls."""
+    start = _after_space(text or "", 0)
+    snapshots, end = _members_at(text or "", start, _clusters_at)
+    if snapshots is None:
+        raise ValueError("not a JSON object")
+    if _after_space(text, end) != len(text):
+        raise json.JSONDecodeError("text after the end of the object", text, end)
+    for snapshot, clusters in snapshots.items():
+        for cluster, nodes in (clusters or {}).items():
+            for node, body in (nodes or {None: None}).items():
+                yield snapshot, cluster, node, body
+
+
+def _split_documents(documents: DataFrame) -> DataFrame:
+    """One row per node with its own text, so that no value but the document's text is as large as a
+    document. Python's reader is used because it gives the text between two places unchanged."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc in zip(*[batch.column(c) for c in DOCUMENT_COLUMNS], strict=True):
+                bundle, member, text, error = (v.as_py() for v in doc)
+                rows: list[tuple] = []
+                if error is None:
+                    try:
+                        rows = [(None, *row) for row in split_document(text)]
+                    except json.JSONDecodeError as e:
+                        error = f"not JSON: {e}"
+                    except (ValueError, RecursionError) as e:
+                        error = str(e)
+                if error is not None:
+                    rows = [(error, None, None, None, None)]
+                while rows:
+                    n = size = 0
+                    while n < len(rows) and (n == 0 or size < BATCH_CHARS):
+                        size += len(rows[n][-1] or "")
+                        n += 1
+                    part, rows = rows[:n], rows[n:]
+                    columns = [[bundle] * n, [member] * n, *zip(*part, strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, pa.string()) for c in columns], names=NODE_COLUMNS
+                    )
+
+    return documents.select(*DOCUMENT_COLUMNS).mapInArrow(
+        split, ", ".join(f"{c} string" for c in NODE_COLUMNS)
+    )
+
+
 def explode_snapshots(documents: DataFrame, run_id: str) -> DataFrame:
     """One row per document, snapshot, cluster and node.
 
     Documents that cannot be read stay in the result as rows with an ``error`` and no keys, and a
     cluster without nodes as a row without a ``node_id``, so that one pass over the corpus serves
-    nodes and rejects alike. Duplicate member names make a document unreadable.
+    nodes and rejects alike. Every node is parsed by itself: one that does not fit a VARIANT is a row
+    with an ``error`` and its neighbours stay. Of equal names the last one counts at every level;
+    the session's option for that is set here.
     """
-    parsed = documents.select(
-        "bundle",
-        "member",
-        F.col("error").alias("failed"),
-        F.col("json").rlike(r"^\s*\{\s*\}\s*\z").alias("empty"),
-        F.try_parse_json("json").alias("doc"),
-    )
-    snaps = members(parsed, "doc", "snapshot", "clusters")
-    # Only an empty object has no members and is sound all the same.
-    no_object = F.col("snapshot").isNull() & ~F.coalesce("empty", F.lit(False))
-    snaps = snaps.select(
-        "bundle",
-        "member",
-        F.coalesce("failed", F.when(no_object, F.lit("not a JSON object"))).alias("error"),
-        "snapshot",
-        "clusters",
-    )
-    clusters = members(snaps, "clusters", "cluster_id", "nodes").drop("clusters")
-    # Casting an object to a map rewrites its members with a key dictionary of their own, so a
-    # payload does not carry the keys of the whole document. Once is enough.
-    nodes = clusters.select(
-        "bundle",
-        "member",
-        "error",
-        "snapshot",
+    documents.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    nodes = _split_documents(documents).withColumn("payload", F.try_parse_json("body"))
+    unread = F.col("body").isNotNull() & F.col("payload").isNull()
+    reason = F.format_string(
+        "node %s of cluster %s: its %s bytes hold a value that is no VARIANT (at most 128 MiB, a text "
+        "at most 20 MB)",
+        "node_id",
         "cluster_id",
-        F.explode_outer(as_map(F.col("nodes"))).alias("node_id", "payload"),
+        F.octet_length("body").cast("string"),
     )
-    keep = F.col("error").isNotNull() | F.col("cluster_id").isNotNull()
-    return nodes.filter(keep).select(
+    return nodes.select(
         F.lit(run_id).alias("run_id"),
         F.when(F.col("snapshot").isNotNull(), snapshot_time(F.col("snapshot"))).alias(
             "snapshot_ts"
@@ -87,7 +184,7 @@ def explode_snapshots(documents: DataFrame, run_id: str) -> DataFrame:
         "bundle",
         "member",
         "payload",
-        "error",
+        F.coalesce("error", F.when(unread, reason)).alias("error"),
     )
 
 
@@ -96,23 +193,29 @@ def reject_documents(exploded: DataFrame) -> DataFrame:
     return exploded.filter(F.col("error").isNotNull()).select("run_id", "bundle", "member", "error")
 
 
-def latest_nodes(exploded: DataFrame) -> DataFrame:
+NODE = [*S.KEYS, "node_id"]
+
+
+def repeated_nodes(exploded: DataFrame) -> DataFrame:
+    """Nodes that several bundles or snapshot names hold, with the ``last`` place of each."""
+    nodes = exploded.filter(F.col("error").isNull() & F.col("node_id").isNotNull())
+    return (
+        nodes.groupBy(*NODE)
+        .agg(F.max(F.struct("bundle", "snapshot")).alias("last"), F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") > 1)
+        .drop("n")
+    )
+
+
+def latest_nodes(exploded: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
     """Nodes without rejects; of a node that several bundles hold, the last bundle's copy, and within
     a bundle the last of the snapshot names that mean the same time.
 
     Only the keys are shuffled to find such nodes. They are few, so AQE broadcasts them and the
-    payloads stay where they are.
+    payloads stay where they are. A job with several readers stages the ``repeated`` nodes once.
     """
     nodes = exploded.filter(F.col("error").isNull()).drop("error")
-    id_ = [*S.KEYS, "node_id"]
-    several = (
-        nodes.filter(F.col("node_id").isNotNull())
-        .groupBy(*id_)
-        .agg(F.max(F.struct("bundle", "snapshot")).alias("last"), F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > 1)
-        .drop("n")
-    )
-    joined = nodes.join(several, on=id_, how="left")
+    joined = nodes.join(repeated if repeated is not None else repeated_nodes(exploded), NODE, "left")
     return joined.filter(
         F.col("last").isNull() | (F.struct("bundle", "snapshot") == F.col("last"))
     ).drop("last")

@@ -90,7 +90,6 @@ def test_explode_keeps_rejects_apart(spark, corpus):
     out = explode_snapshots(base(telemetry_documents(read_bundles(spark, corpus))), "r1")
     assert [b for b, _ in rows(reject_documents(out), "bundle", "error")] == [
         "broken.tgz",
-        "dup.tgz",
         "list.tgz",
         "none.tgz",
         "text.tgz",
@@ -102,9 +101,97 @@ def test_explode_keeps_rejects_apart(spark, corpus):
         "zip.tar",
         "both.tgz",
         "tie.tgz",
+        "dup.tgz",
     }
 
 
+def test_an_archive_too_long_for_a_value_is_a_reject(spark, corpus):
+    """It stops neither the others nor the listing."""
+    key = "spark.sql.sources.binaryFile.maxLength"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10")  # only the broken archive, 10 bytes, is short enough
+    try:
+        docs = base(telemetry_documents(read_bundles(spark, corpus)))
+        got = {r.bundle: r.error for r in docs.collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert len(got) == 10
+    assert "too long" in got["plain.tgz"]
+    assert "ReadError" in got["broken.tgz"]
+
+
+def test_levels_that_are_no_objects_and_repeated_names(spark):
+    docs = [
+        '{"t":5,"u":{"c":{"n":{"v":1}}}}',
+        '{"t":{"b":7,"c":{"n":{"v":0.00050,"w":12345678.50}},"d":[1]},"e":null}',
+        '{"t":{"c":{"n":{"v":1}}},"t":{"c":{"n":{"v":1},"n":{"v":2,"v":3}}}}',
+        '{"t":{"c":{"n":{"v":NaN,"w":0.5},"m":"text","k":null}}}',
+        '{"t":{"c":{"n":{"v":tru}}}}',
+        '{"t":{}} x',
+        "",
+        None,
+        " {} ",
+    ]
+    df = spark.createDataFrame(
+        [(f"b{i}", "m", 1, d, None) for i, d in enumerate(docs)],
+        "bundle string, member string, size bigint, json string, error string",
+    )
+    out = explode_snapshots(df, "r").withColumn("p", F.col("payload").cast("string"))
+    got = rows(out.filter("error is null"), "bundle", "snapshot", "cluster_id", "node_id", "p")
+    assert sorted(got, key=str) == sorted(
+        [
+            ("b0", "u", "c", "n", '{"v":1}'),
+            ("b1", "t", "b", None, None),
+            ("b1", "t", "c", "n", '{"v":0.0005,"w":12345678.5}'),
+            ("b1", "t", "d", None, None),
+            ("b2", "t", "c", "n", '{"v":3}'),
+            ("b3", "t", "c", "n", '{"v":"NaN","w":0.5}'),
+            ("b3", "t", "c", "m", "text"),
+            ("b3", "t", "c", "k", None),
+        ],
+        key=str,
+    )
+    bad = {r.bundle: r.error for r in reject_documents(out).collect()}
+    assert set(bad) == {"b4", "b5", "b6", "b7"}
+    assert "not JSON" in bad["b4"]
+
+
+def test_one_bad_node_leaves_its_neighbours_and_documents_may_be_large(spark):
+    """A document above 128 MiB with a text that no VARIANT holds."""
+    body = '"%s"' % ("y" * 1_000_000)
+    nodes = [f'"n{i}":{{"v":{body}}}' for i in range(136)]
+    nodes.append('"bad":{"v":"%s"}' % ("y" * 21_000_000))
+    doc = '{"t":{"c":{%s}}}' % ",".join(nodes)
+    n = (
+        spark.range(1)
+        .mapInArrow(_one_document(doc), "bundle string, member string, json string, error string")
+    )
+    out = explode_snapshots(n, "r").select("node_id", "bundle", "member", "run_id", "error")
+    got = out.collect()
+    assert len(got) == 137
+    assert [r.node_id for r in got if r.error] == ["bad"]
+
+
+def _one_document(doc):
+    def make(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for _ in range(batch.num_rows):
+                cols = [pa.array([v], pa.string()) for v in ("b", "m", doc, None)]
+                yield pa.RecordBatch.from_arrays(cols, names=["bundle", "member", "json", "error"])
+
+    return make
+
+
+@pytest.mark.parametrize("run", ["a/b", "50%41", "x=1:2", "7"])
+def test_any_text_is_a_run_id(spark, tmp_path, run):
+    table = spark.createDataFrame([(run, None, "c", "n", "f")], S.TABLES["active_features"])
+    write_tables({"active_features": table}, str(tmp_path), run)
+    out = read_parquet_tables(spark, str(tmp_path), [run])["active_features"]
+    assert rows(out, "run_id", "feature") == [(run, "f")]
+
+
 def docs_frame(spark, docs):
     return spark.createDataFrame(
         [(f"b{i}", "m", len(d), d, None) for i, d in enumerate(docs)],
