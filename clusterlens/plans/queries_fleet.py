@@ -20,6 +20,7 @@ from clusterlens.plans.queries_telemetry import (
     day,
     fleet_tables,
 )
+from clusterlens.report.datasets import VITALS
 from clusterlens.rules.core import RULE_ORDER
 from clusterlens.rules.registry import REGISTRY
 
@@ -266,7 +267,8 @@ def _mark_sql(status: str, other: str) -> str:
     + f" FROM ({LENS_RESULTS}) GROUP BY cluster_id",
 )
 def p3(spark, d):
-    return report.vitals(lens_results(spark, d), C)
+    shown_rules = [rule_id for _, rule_id, _ in VITALS]
+    return report.vitals(rules.run_all(lens_tables(spark, d), shown_rules, C), C)
 
 
 @query(

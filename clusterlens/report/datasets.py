@@ -41,7 +41,7 @@ CONTEXT_KEYS = {
 VITALS = [
     ("integrity", "3.a", "Node configurations are in step."),
     ("capacity", "5.a", "Resource use is nominal."),
-    ("security", "6.a", "Security policies are active."),
+    ("security", "6.a", "No connection count stands out."),
 ]
 
 DEFAULT_REMEDIATION = "See the product documentation for this metric."

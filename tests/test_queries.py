@@ -22,6 +22,11 @@ SAMPLE = [
     "c4a_rate",
     "c5a_forecast",
     "run_all",
+    "s4_explode_snapshots",
+    "s10_store_findings",
+    "d5_sort_findings",
+    "p3_vitals",
+    "p4_narrative",
 ]
 
 

@@ -331,3 +331,60 @@ def test_bundles_to_findings(spark, tmp_path):
     first = pipeline.analyze(spark, out, "r1").drop("run_id", "evidence")
     assert again.exceptAll(first).count() == 0
     assert first.exceptAll(again).count() == 0
+
+
+def test_plug_ins_and_meant_settings_beside_a_stored_coverage(spark, tmp_path):
+    """An own extractor's table is stored, read again and judged; 3.b speaks; a failing extractor
+    leaves no rows of an earlier run behind."""
+    from clusterlens.extract import EXTRACTORS
+    from clusterlens.extract.registry import extractor
+    from clusterlens.rules.registry import REGISTRY, evidence, rule
+
+    docs = docs_frame(spark, [document({"as_stat": {"config": {"service": {"x": "1"}}}, "mine": 7})])
+    static = spark.createDataFrame(
+        [(TS, "c", "n1", "service.x", "2")], "t string, cluster_id string, node_id string, "
+        "config_name string, value string"
+    ).select(
+        F.lit("r").alias("run_id"), F.col("t").cast("timestamp").alias("snapshot_ts"),
+        "cluster_id", "node_id", "config_name", "value",
+    )
+    try:
+
+        @extractor("my_table")
+        def my_table(nodes):
+            n = F.try_variant_get("payload", "$.mine", "bigint")
+            return nodes.select(*S.KEYS, "node_id", n.alias("n"))
+
+        @rule("9.t", "Mine", "my_table")
+        def my_rule(tables, keys):
+            worst = tables["my_table"].groupBy(*keys).agg(F.max("n").alias("n"))
+            return worst.select(
+                *keys,
+                F.when(F.col("n") > 5, F.lit(S.WARNING)).otherwise(F.lit(S.PASS)).alias("status"),
+                F.lit("m").alias("message"),
+                evidence(n="n").alias("evidence"),
+            )
+
+        out = str(tmp_path)
+        pipeline.ingest_documents(docs, out, "r", static_configs=static)
+        status = {r.id: r.status for r in pipeline.analyze(spark, out, "r").collect()}
+        assert status["9.t"] == S.WARNING
+        assert status["3.b"] == S.WARNING
+
+        # Settings that are stored after the coverage are counted all the same.
+        pipeline.ingest_documents(docs, out, "r2")
+        late = static.withColumn("run_id", F.lit("r2"))
+        write_tables({"static_configs": late}, out, "r2")
+        status = {r.id: r.status for r in pipeline.analyze(spark, out, "r2").collect()}
+        assert status["3.b"] == S.WARNING
+
+        @extractor("my_table")
+        def broken(nodes):
+            raise ValueError("no such thing")
+
+        pipeline.ingest_documents(docs, out, "r")
+        status = {r.id: r.status for r in pipeline.analyze(spark, out, "r").collect()}
+        assert status["9.t"] == S.DATA_MISSING
+    finally:
+        EXTRACTORS.pop("my_table", None)
+        REGISTRY.pop("9.t", None)
