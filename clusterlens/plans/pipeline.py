@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clusterlens import schema as S
 from clusterlens.extract import EXTRACTORS, run_extractors
-from clusterlens.rules import coverage, metric_names, run_all
+from clusterlens.rules import coverage, run_all
 from clusterlens.rules.registry import REGISTRY
 from clusterlens.rules.runner import COVERED
 from clusterlens.sources import (
@@ -64,13 +64,12 @@ def ingest_documents(
 
 
 def write_coverage(spark: SparkSession, out: str, run_id: str) -> None:
-    """What the stored tables of a run hold, read from their key and name columns alone.
+    """What the stored tables of a run hold, read from their key columns alone.
 
-    Rows per table and cluster let rules tell a missing table from a missing metric; the metric
-    names let them turn patterns into names that prune row groups.
+    Rows per table and cluster let rules tell a missing table from a missing metric.
     """
     stored = read_parquet_tables(spark, out, [run_id], names=COVERED)
-    write_tables({"coverage": coverage(stored), "metric_names": metric_names(stored)}, out, run_id)
+    write_tables({"coverage": coverage(stored)}, out, run_id)
 
 
 def ingest(

@@ -109,30 +109,9 @@ def first_alias(metrics: Sequence[str], value: Column, agg=F.sum) -> Column:
     return F.coalesce(*[agg(F.when(F.col("metric") == m, value)) for m in metrics])
 
 
-#: Longest IN list a pattern is turned into; beyond it the pattern itself is used.
-MAX_NAMES = 200
-
-
-def matching(tables: Tables, table: str, patterns: Sequence[str]) -> Column:
-    """Condition on ``metric``: LIKE any of the patterns.
-
-    With the stored metric names at hand the matching names are looked up first, at most
-    ``MAX_NAMES`` of them. An IN list skips every Parquet row group without such a metric, which a
-    pattern cannot. Without the names, or with too many matches, the pattern does the work.
-    """
-    cond = flt.like_any("metric", patterns)
-    if "metric_names" in tables:
-        found = (
-            tables["metric_names"]
-            .filter((F.col("table_name") == table) & cond)
-            .select("metric")
-            .distinct()
-            .limit(MAX_NAMES + 1)
-            .collect()
-        )
-        if len(found) <= MAX_NAMES:
-            return F.col("metric").isin(sorted(r.metric for r in found))
-    return cond
+def matching(patterns: Sequence[str]) -> Column:
+    """Condition on ``metric``: LIKE any of the patterns."""
+    return flt.like_any("metric", patterns)
 
 
 # --- 1.a, 1.a2: error skew over nodes --------------------------------------------------------
@@ -305,7 +284,7 @@ def namespace_facts(
     value = number(ns_stats)
 
     def like(rule_id: str, patterns: Sequence[str]) -> Column:
-        return matching(tables, "namespace_stats", patterns) if rule_id in ids else F.lit(False)
+        return matching(patterns) if rule_id in ids else F.lit(False)
 
     busy = like("4.a", [_params(params, "4.a")["pattern"]])
     used = like("5.a", CAPACITY_PATTERNS)
@@ -484,7 +463,7 @@ def _entity_row(
 
 def version_entities(tables: Tables, keys: Sequence[str]) -> DataFrame:
     """1.c: nodes per version; a node's version is its first version metric by name."""
-    named = matching(tables, "node_stats", VERSION_PATTERNS)
+    named = matching(VERSION_PATTERNS)
     rows = tables["node_stats"].filter(named & F.col("value").isNotNull())
     per_node = rows.groupBy(*keys, "node_id").agg(
         F.min(F.struct("metric", "value")).getField("value").alias("version")
