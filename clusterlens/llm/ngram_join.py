@@ -11,7 +11,9 @@ at least t times the larger set, a set of n tokens needs a prefix of n - ceil(t
    their tokens must be held by other sets too. Only counts come back. A set that shares boilerplate
    with thousands of others but is no near copy ends here.
 2. Remaining sets meet the first set of each of their min-hash bands and are verified. This is no
-   filter: it joins groups of near copies early, so that their pairs need not be listed.
+   filter: it joins groups of near copies early, so that their pairs need not be listed. As that
+   first set may itself lie at the rim of a group, each set then meets ``NEIGHBOURS`` others
+   of each band, at random, if they belong to other components.
 3. Remaining sets, rarest tokens first. Tokens that stay inside one component can tell nothing new
    and come first of all. For each set the prefix is lengthened to the l with the least estimated
    cost: list entries to read, plus candidates to verify, of which there are at most entries / l.
@@ -43,6 +45,8 @@ PERCENT = 80
 #: Share of a set by which prefixes are lengthened in the first step.
 SPREAD = 0.1
 BANDS, ROWS = 12, 4
+#: Sets of a band that are put in random order together, and how many of those before it a set meets.
+BLOCK, NEIGHBOURS = 512, 8
 #: Bits of a set's parity, in 64-bit words.
 PARITY = 1024
 WORDS = PARITY // 64
@@ -287,15 +291,20 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("u", "v", "left", "right").mapInArrow(_verify(percent), "u long, v long")
 
 
-def _fits(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and parities of two sets, the columns n and p0, p1, ... of a and b, let them link."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differ = [F.bit_count(F.col(f"{a}.p{i}").bitwiseXOR(F.col(f"{b}.p{i}"))) for i in range(WORDS)]
+def _near(n: Column, m: Column, p: list[Column], q: list[Column], percent: int) -> Column:
+    """Whether sizes n, m and parities p, q of two sets let them link."""
+    differ = [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(p, q, strict=True)]
     # |x and y| >= t |x or y|, so they differ in (1 - t) / (1 + t) of |x| + |y| at most
     near = sum(differ[1:], differ[0]) * (100 + percent) <= (n + m) * (100 - percent)
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & near
 
 
+def _fits(a: str, b: str, percent: int) -> Column:
+    """The same for the columns n and p0, p1, ... of a and b."""
+    p, q = ([F.col(f"{x}.p{i}") for i in range(WORDS)] for x in (a, b))
+    return _near(F.col(f"{a}.n"), F.col(f"{b}.n"), p, q, percent)
+
+
 PARITIES = [f"p{i}" for i in range(WORDS)]
 
 
@@ -321,6 +330,31 @@ def first_links(sets: DataFrame, percent: int) -> DataFrame:
     return verified(met, sets, percent)
 
 
+def neighbour_links(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links of each set with random sets of its bands, where components differ."""
+    named = sets.join(labels, sets["digest"] == labels["vertex"], "left").select(
+        "digest", "n", "parity", "bands", F.coalesce("component", "digest").alias("component")
+    )
+    traits = ["digest", "n", "parity", "component"]
+    bands = named.select(*traits, F.posexplode("bands").alias("band", "sig"))
+    across = bands.groupBy("band", "sig").agg(
+        F.count("*").alias("held"), F.min("component").alias("a"), F.max("component").alias("b")
+    )
+    across = across.filter("a < b").select("band", "sig", F.ceil(F.col("held") / BLOCK).alias("blocks"))
+    rows = bands.join(across, ["band", "sig"]).withColumn("random", F.xxhash64("digest", "band"))
+    in_block = Window.partitionBy("band", "sig", F.pmod("random", "blocks")).orderBy("random", "digest")
+    before = F.collect_list(F.struct(*traits)).over(in_block.rowsBetween(-NEIGHBOURS, -1))
+
+    def may_link(other: Column) -> Column:
+        p, q = ([x[i] for i in range(WORDS)] for x in (F.col("parity"), other["parity"]))
+        return (other["component"] != F.col("component")) & _near(F.col("n"), other["n"], p, q, percent)
+
+    met = rows.withColumn("before", before).select("digest", F.filter("before", may_link).alias("met"))
+    pairs = met.select("digest", F.explode("met.digest").alias("other"))
+    pairs = pairs.select(F.least("digest", "other").alias("u"), F.greatest("digest", "other").alias("v"))
+    return verified(pairs.distinct(), sets, percent)
+
+
 def candidate_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of sets of different components that share enough tokens of their prefixes."""
     named = sets.join(labels, sets["digest"] == labels["vertex"], "left").select(
@@ -393,6 +427,8 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
         "shingle-sets",
     )
     links = staged(first_links(near_tokens, percent), "links")
+    more = neighbour_links(near_tokens, components(links), percent)
+    links = staged(links.unionByName(more), "links")
     pairs = candidate_pairs(near_tokens, components(links), percent)
     links = links.unionByName(verified(pairs, near_tokens, percent))
     labels = components(links)
