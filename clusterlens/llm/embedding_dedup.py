@@ -7,11 +7,14 @@ an unbiased estimate of their inner product, with a confidence bound of
 alone, provided that the angles between vector, code and the other vector rule a link out for
 certain too; so nothing is lost to chance. All others are computed again exactly, in doubles.
 
-Which pairs meet: signs of further random projections give ``BANDS`` codes, with log2 n and ``MORE_BITS``
-bits each, so chance meetings stay in proportion to n. Vectors meet if one code agrees. At a cosine of
-0.95 a sign agrees with probability 0.899, and with 20 bits a pair is missed by all 40 bands with
-probability 0.006, at 0.97 with 0.0002; that is the recall. A linked pair is counted in the first
-band it agrees in. Buckets are cut into blocks of at most ``BLOCK`` vectors, and each pair of blocks is one
+Which pairs meet: signs of further random projections give codes, one per band, with log2 n and
+``MORE_BITS`` bits each, so chance meetings of a band stay in proportion to n. Vectors meet if one code
+agrees. The number of bands follows from the bits: there are as many as keep the probability that
+a pair at the threshold agrees in none of them at ``MISS`` or less, whatever n is (at 0.95, where a sign agrees
+with probability 0.899, 55 bands of 20 bits, 120 of 27), and ``BANDS`` at least; pairs above the threshold are
+missed less often. That is the recall. Where a low threshold needs more than ``MOST_BANDS``, codes get
+shorter instead, down to no bit, where all pairs meet. A linked pair is counted in the first band
+it agrees in. Buckets are cut into blocks of at most ``BLOCK`` vectors, and each pair of blocks is one
 group; small buckets share a group. So a bucket with a third of all vectors becomes many equal groups.
 No group emits pairs: it counts links, and returns a spanning forest of them. Equal vectors are one
 vector with a number from the start.
@@ -40,6 +43,9 @@ EPSILON = 3.0
 #: Members of a block; a group holds two blocks at most.
 BLOCK = 2048
 BANDS, MORE_BITS = 40, 4
+#: Greatest probability that a pair at the threshold meets in no band.
+MISS = 0.001
+MOST_BANDS = 1024
 SEED = 20
 
 
@@ -55,9 +61,21 @@ def _unit(rows: pa.Array, d: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _codes(d: int, bits: int):
+def banding(n: int, threshold: float) -> tuple[int, int]:
+    """Bits of a code and number of bands for n vectors, so that at most ``MISS`` of pairs are missed."""
+    agree = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    bits = min(53, max(1, math.ceil(math.log2(n + 1)) + MORE_BITS))
+    for b in range(bits, 0, -1):
+        met = agree**b
+        bands = 1 if met >= 1 else math.ceil(math.log(MISS) / math.log1p(-met)) if met > 1e-9 else math.inf
+        if bands <= MOST_BANDS:
+            return b, max(BANDS, bands)
+    return 0, 1
+
+
+def _codes(d: int, bits: int, bands: int):
     """One code per band: signs of random projections."""
-    planes = np.random.default_rng(SEED + 1).standard_normal((d, BANDS * bits))
+    planes = np.random.default_rng(SEED + 1).standard_normal((d, bands * bits))
     powers = 1 << np.arange(bits, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,8 +83,8 @@ def _codes(d: int, bits: int):
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 signs = _unit(part.column("vector"), d) @ planes >= 0
-                codes = (signs.reshape(-1, BANDS, bits) * powers).sum(axis=2)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(codes.ravel()), BANDS)
+                codes = (signs.reshape(len(part), bands, bits) * powers).sum(axis=2)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(codes.ravel()), bands)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), lists.cast(pa.list_(pa.int64()))], names=["id", "codes"]
                 )
@@ -111,7 +129,7 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return on, label[on]
 
 
-def _compare(d: int, threshold: float, epsilon: float):
+def _compare(d: int, bands: int, threshold: float, epsilon: float):
     """Links inside one group: block ``a`` and block ``b`` of a cell."""
     turn = rotation(d)
 
@@ -120,8 +138,8 @@ def _compare(d: int, threshold: float, epsilon: float):
         copies = table.column("copies").to_numpy()
         side = table.column("side").to_numpy()
         band = table.column("band").to_numpy()
-        codes = table.column("codes").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-        bucket = codes[np.arange(len(band)), band] * BANDS + band
+        codes = table.column("codes").combine_chunks().flatten().to_numpy().reshape(-1, bands)
+        bucket = codes[np.arange(len(band)), band] * bands + band
         x = _unit(table.column("vector").combine_chunks(), d)
         same = table.column("a")[0].as_py() == table.column("b")[0].as_py()
         left = np.arange(len(ids)) if same else np.flatnonzero(side == 0)
@@ -161,16 +179,16 @@ def _compare(d: int, threshold: float, epsilon: float):
 def _of_length(vectors: DataFrame, d: int, threshold: float, epsilon: float) -> DataFrame:
     """id, links, root parts of all groups of vectors of d components."""
     n = vectors.count()
-    bits = min(56, max(1, math.ceil(math.log2(n + 1)) + MORE_BITS))
-    coded = staged(vectors.mapInArrow(_codes(d, bits), "id long, codes array<long>"), "codes")
+    bits, bands = banding(n, threshold)
+    coded = staged(vectors.mapInArrow(_codes(d, bits, bands), "id long, codes array<long>"), "codes")
     keys = coded.select("id", F.posexplode("codes").alias("band", "code"))
     buckets = keys.groupBy("band", "code").agg(F.count("*").alias("held")).filter("held > 1")
     blocks = F.ceil(F.col("held") / F.lit(BLOCK)).cast("int")
-    shared = max(1, n * BANDS // BLOCK)
+    shared = max(1, n * bands // BLOCK)
     # small buckets share a group, a large one is a cell of its own
     cell = F.when(F.col("held") <= BLOCK // 8, -1 - F.pmod(F.xxhash64("band", "code"), F.lit(shared)))
     cells = buckets.select(
-        "band", "code", blocks.alias("blocks"), F.coalesce(cell, F.col("code") * BANDS + F.col("band")).alias("cell")
+        "band", "code", blocks.alias("blocks"), F.coalesce(cell, F.col("code") * bands + F.col("band")).alias("cell")
     )
     met = keys.join(cells, ["band", "code"]).select("id", "band", "cell", "blocks")
     facts = vectors.join(coded, "id")
@@ -190,7 +208,7 @@ def _of_length(vectors: DataFrame, d: int, threshold: float, epsilon: float) ->
         "band",
     )
     return grouped.groupBy("cell", "a", "b").applyInArrow(
-        _compare(d, threshold, epsilon), "id long, links long, root long"
+        _compare(d, bands, threshold, epsilon), "id long, links long, root long"
     )
 
 
