@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterlens.llm.common import read
+from clusterlens.llm.common import read, staged
 from clusterlens.llm.tokens import segment_ids
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -232,9 +232,10 @@ def count_edited(
     one = F.struct("start", "length", "replacement")
     wanted = edits.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.collect_list(one).alias("edits"))
     same = F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("r.version") == F.col("t.version"))
-    joined = rows.alias("r").join(known.alias("t"), same).join(
-        wanted.alias("e"), F.col("r.doc_id") == F.col("e.doc_id"), "left"
-    )
+    # trees meet their edits first, so texts move once
+    due = known.alias("k").join(wanted.alias("e"), F.col("k.doc_id") == F.col("e.doc_id"), "left")
+    due = due.select("k.doc_id", "k.version", "leaf_chars", "leaf_tokens", "edits")
+    joined = rows.alias("r").join(due.alias("t"), same)
     return recount(joined.select("r.doc_id", "r.text", "leaf_chars", "leaf_tokens", "edits"), vocabulary)
 
 
@@ -257,9 +258,11 @@ def _edits(doc_id: Column, text: Column) -> Column:
 
 
 def sample_edits(docs: DataFrame) -> DataFrame:
-    """Three edits of each document, as a table."""
+    """Three edits of each document, as a table; rows that repeat a document add none."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.explode(_edits(F.col("doc_id"), text)).alias("e")).select("doc_id", "e.*")
+    named = docs.filter(F.col("doc_id").isNotNull())
+    rows = named.select("doc_id", F.explode(_edits(F.col("doc_id"), text)).alias("e")).select("doc_id", "e.*")
+    return rows.distinct()
 
 
 def build_and_recount(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -282,8 +285,7 @@ def build_and_recount(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document before and after three edits, and what was encoded for them."""
-    text = F.coalesce("text", F.lit(""))
     docs = read(spark, sf_dir, "documents")
-    return build_and_recount(
-        docs.select("doc_id", text.alias("text"), _edits(F.col("doc_id"), text).alias("edits"))
-    )
+    trees = staged(build_trees(docs), "trees")
+    edits = staged(sample_edits(docs), "edits")
+    return count_edited(docs, trees, edits)
