@@ -16,6 +16,9 @@ OPERATORS = {
     "language_id": "op8_language_id",
     "ngram_join": "op9_ngram_join",
     "packing": "op10_packing",
+    "topk_search": "op11_topk_search",
+    "token_alignment": "op12_token_alignment",
+    "centroid_clusters": "op13_centroid_clusters",
 }
 
 
