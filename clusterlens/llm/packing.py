@@ -10,8 +10,10 @@ with a number, so the work depends on the number of lengths, not on the number o
 Pieces find their places by length and rank. Ranks are taken within a length and a salt, so a length
 that a third of all pieces have is spread over ``SALTS`` groups.
 
-Defined results: null text is an empty text, which is the end token alone. Repeated rows are pieces
-of their own. Only ``doc_id`` and ``text`` are read. An empty table gives no sequences.
+Defined results: null text is an empty text, which is the end token alone. The name of an added token of
+the vocabulary in a text is that token. Of pieces of equal length the order is by document, checksum and
+start, and pieces that are equal in all of them get their places in any order. Repeated rows are pieces of
+their own. Only ``doc_id`` and ``text`` are read. An empty table gives no sequences.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clusterlens.llm.common import read, staged
-from clusterlens.llm.tokens import segment_ids
+from clusterlens.llm.tokens import token_ids
 
 CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k.json"
@@ -41,11 +43,11 @@ def pieces_of(text: Column, capacity: int = CAPACITY, vocabulary: str = VOCABULA
 
     @F.arrow_udf("array<struct<start:long,length:long,ids_crc32:long>>")
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = segment_ids(vocabulary)
+        ids_of = token_ids(vocabulary)
         for part in parts:
             ends, start, length, crc = [0], [], [], []
             for text in part:
-                ids = table.ids(text.as_py() or "") + END
+                ids = ids_of(text.as_py() or "") + END
                 n = len(ids) // 4
                 at = 0
                 size = n % capacity or capacity

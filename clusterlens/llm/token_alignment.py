@@ -84,7 +84,7 @@ class Vocabularies:
     def __init__(self, a: str, b: str):
         self.encode_a = encoding(a).encode_to_numpy
         names = encoding(a).token_byte_values()
-        of_a = {encoding(a).encode_single_token(name): name for name in names}
+        of_a = {encoding(a).encode_single_token(name): name for name in names}  # added tokens are none of them
         self.pieces = pieces(b)
         self.a = Strings([of_a.get(i, b"") for i in range(max(of_a) + 1)])
         self.b = Strings([self._bytes(i) for i in range(self.pieces.get_piece_size())])

@@ -7,21 +7,21 @@ the segments' code points and tokens in its leaves and the sums of both in every
 place by code points, encodes the segments it touches (and a neighbour, where it touches the three
 characters that make a cut safe), and adds the differences up along the paths to the root.
 
-Trees are a table: doc_id, version, chars, tokens, the arrays of all nodes, level after level from the
-leaves. Edits are a table too: doc_id, start, length, replacement, in places of the text before any
-of a document's edits.
+Trees are a table: doc_id, version, chars, tokens, the number of leaves and the sums of all nodes, level after
+level from the leaves; counting after edits returns the trees of the new versions alike. Edits are a table too:
+doc_id, start, length, replacement, in places of the text before any of a document's edits.
 
 Defined results: null text is an empty text with one empty segment and no tokens. Edits beyond the
 end are moved to the end, negative places to the start; of overlapping edits the later one keeps only
 what the earlier left; a null replacement deletes; equal starts are applied by length, then
 replacement. Edits without a document are ignored, documents without edits keep their counts. Rows
 without an id have no edits. Repeated rows of a document all get its edits. Only named columns are
-read.
+read. The name of an added token of the vocabulary in a text is that token.
 """
 
 from __future__ import annotations
 
-import bisect
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clusterlens.llm.common import read, staged
-from clusterlens.llm.tokens import segment_ids
+from clusterlens.llm.tokens import token_ids
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Code points after which a segment ends at the next safe place.
@@ -63,6 +63,20 @@ class Tree:
             at = range(0, len(below[0]), FAN)
             self.levels.append(tuple([sum(x[i : i + FAN]) for i in at] for x in below))
 
+    @classmethod
+    def stored(cls, leaves: int, chars: list[int], tokens: list[int]) -> Tree:
+        """The tree of stored nodes, level after level; nothing is summed again."""
+        tree = cls.__new__(cls)
+        tree.levels, at, n = [], 0, leaves
+        while at < len(chars):
+            tree.levels.append((chars[at : at + n], tokens[at : at + n]))
+            at, n = at + n, -(-n // FAN)
+        return tree
+
+    def nodes(self) -> tuple[list[int], list[int]]:
+        """Sums of all nodes, level after level."""
+        return tuple([n for level in self.levels for n in level[i]] for i in (0, 1))
+
     @property
     def root(self) -> tuple[int, int]:
         chars, tokens = self.levels[-1]
@@ -93,7 +107,7 @@ class Counter:
     """Tokens of a piece of text, and how many code points have been encoded."""
 
     def __init__(self, vocabulary: str = VOCABULARY):
-        self.ids = segment_ids(vocabulary).ids
+        self.ids = token_ids(vocabulary)
         self.encoded = 0
 
     def __call__(self, text: str) -> int:
@@ -109,15 +123,20 @@ def build(text: str, count: Counter) -> Tree:
 
 def _touched(text: str, tree: Tree, a: int, b: int) -> tuple[int, int]:
     """First and last leaf to encode again for an edit of [a, b)."""
+    chars = tree.levels[0][0]
     first, start = tree.find(a)
-    # the cut before the leaf rests on the characters before and at it
+    # the cut before the leaf rests on the characters before and at it; earlier edits may have emptied leaves
     if first and a <= start:
         first -= 1
+        while first and not chars[first]:
+            first -= 1
     last, start = tree.find(max(a, b))
-    end = start + tree.levels[0][0][last]
+    end = start + chars[last]
     # so does the cut after it
-    if b >= end and last + 1 < len(tree.levels[0][0]):
+    if b >= end and last + 1 < len(chars):
         last += 1
+        while last + 1 < len(chars) and not chars[last]:
+            last += 1
     return first, last
 
 
@@ -161,26 +180,28 @@ def apply_edits(text: str, tree: Tree, edits: list[tuple[int, int, str]], count:
     return "".join(out)
 
 
-TREE = "doc_id long, version string, chars long, tokens long, leaf_chars array<long>, leaf_tokens array<long>"
+NODES = "leaves int, node_chars array<long>, node_tokens array<long>"
+TREE = f"doc_id long, version string, chars long, tokens long, {NODES}"
+
+
+def _tree_columns(trees: list[Tree]) -> list[pa.Array]:
+    longs = pa.list_(pa.int64())
+    nodes = [t.nodes() for t in trees]
+    leaves = pa.array([len(t.levels[0][0]) for t in trees], pa.int32())
+    return [leaves, pa.array([n[0] for n in nodes], longs), pa.array([n[1] for n in nodes], longs)]
 
 
 def build_trees(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """A tree for every row; inner nodes are sums of the leaves and made again when read."""
+    """The tree of every row, with the sums of all of its nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             count = Counter(vocabulary)
             trees = [build(t.as_py(), count) for t in batch.column("text")]
+            roots = [pa.array([t.root[i] for t in trees], pa.int64()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("version"),
-                    pa.array([t.root[0] for t in trees], pa.int64()),
-                    pa.array([t.root[1] for t in trees], pa.int64()),
-                    pa.array([t.levels[0][0] for t in trees], pa.list_(pa.int64())),
-                    pa.array([t.levels[0][1] for t in trees], pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "version", "chars", "tokens", "leaf_chars", "leaf_tokens"],
+                [batch.column("doc_id"), batch.column("version"), *roots, *_tree_columns(trees)],
+                names=["doc_id", "version", "chars", "tokens", "leaves", "node_chars", "node_tokens"],
             )
 
     text = F.coalesce("text", F.lit(""))
@@ -188,23 +209,23 @@ def build_trees(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return rows.mapInArrow(run, TREE)
 
 
-EDITED = """doc_id long, n_chars long, n_tokens long, n_edits long, n_chars_after long,
-    n_tokens_after long, n_encoded long"""
+COUNTS = ["doc_id", "n_chars", "n_tokens", "n_edits", "n_chars_after", "n_tokens_after", "n_encoded"]
+EDITED = ", ".join(f"{c} long" for c in COUNTS) + f", version string, {NODES}"
 
 
 def recount(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Counts before and after the edits, and the code points encoded for the edits.
+    """Counts before and after the edits, the code points encoded for the edits, and the new tree.
 
-    Rows: doc_id, text, leaf_chars, leaf_tokens, edits (array of start, length, replacement).
+    Rows: doc_id, text, the tree's leaves, node_chars and node_tokens, edits (array of start, length, replacement).
     """
+    names = ["doc_id", "text", "leaves", "node_chars", "node_tokens", "edits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            cols = [batch.column(c) for c in ("doc_id", "text", "leaf_chars", "leaf_tokens", "edits")]
-            for row in zip(*cols, strict=True):
-                doc_id, text, chars, tokens, edits = (x.as_py() for x in row)
-                tree, count = Tree(chars, tokens), Counter(vocabulary)
+            out, trees, versions = [], [], []
+            for row in zip(*[batch.column(c) for c in names], strict=True):
+                doc_id, text, leaves, chars, tokens, edits = (x.as_py() for x in row)
+                tree, count = Tree.stored(leaves, chars, tokens), Counter(vocabulary)
                 n_chars, n_tokens = tree.root
                 wanted = [
                     (e["start"], e["length"] or 0, e["replacement"] or "")
@@ -212,11 +233,14 @@ def recount(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                     if e["start"] is not None
                 ]
                 if wanted:
-                    apply_edits(text, tree, wanted, count)
+                    text = apply_edits(text, tree, wanted, count)
                 out.append((doc_id, n_chars, n_tokens, len(wanted), *tree.root, count.encoded))
+                trees.append(tree)
+                versions.append(hashlib.md5(text.encode()).hexdigest())
+            numbers = [pa.array([r[i] for r in out], pa.int64()) for i in range(len(COUNTS))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in out], pa.int64()) for i in range(7)],
-                names=["doc_id", "n_chars", "n_tokens", "n_edits", "n_chars_after", "n_tokens_after", "n_encoded"],
+                [*numbers, pa.array(versions, pa.string()), *_tree_columns(trees)],
+                names=[*COUNTS, "version", "leaves", "node_chars", "node_tokens"],
             )
 
     return rows.mapInArrow(run, EDITED)
@@ -225,18 +249,18 @@ def recount(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 def count_edited(
     docs: DataFrame, trees: DataFrame, edits: DataFrame, vocabulary: str = VOCABULARY
 ) -> DataFrame:
-    """Counts of all documents after their edits; stored trees spare encoding the rest."""
+    """Counts and trees of all documents after their edits; stored trees spare encoding the rest."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.md5(text).alias("version"))
     known = trees.dropDuplicates(["doc_id", "version"])
     one = F.struct("start", "length", "replacement")
     wanted = edits.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.collect_list(one).alias("edits"))
     same = F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("r.version") == F.col("t.version"))
-    # trees meet their edits first, so texts move once
+    # trees meet their edits first, so texts move once; they are never sorted, as the small side is hashed
     due = known.alias("k").join(wanted.alias("e"), F.col("k.doc_id") == F.col("e.doc_id"), "left")
-    due = due.select("k.doc_id", "k.version", "leaf_chars", "leaf_tokens", "edits")
-    joined = rows.alias("r").join(due.alias("t"), same)
-    return recount(joined.select("r.doc_id", "r.text", "leaf_chars", "leaf_tokens", "edits"), vocabulary)
+    due = due.select("k.doc_id", "k.version", "leaves", "node_chars", "node_tokens", "edits")
+    joined = rows.alias("r").join(due.hint("shuffle_hash").alias("t"), same)
+    return recount(joined.select("r.doc_id", "r.text", "leaves", "node_chars", "node_tokens", "edits"), vocabulary)
 
 
 def _edits(doc_id: Column, text: Column) -> Column:
@@ -265,27 +289,9 @@ def sample_edits(docs: DataFrame) -> DataFrame:
     return rows.distinct()
 
 
-def build_and_recount(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``recount`` where trees are not stored yet: rows of doc_id, text, edits; nothing is shuffled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            count = Counter(vocabulary)
-            trees = [build(t.as_py(), count) for t in batch.column("text")]
-            leaves = [pa.array([t.levels[0][i] for t in trees], pa.list_(pa.int64())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text"), *leaves, batch.column("edits")],
-                names=["doc_id", "text", "leaf_chars", "leaf_tokens", "edits"],
-            )
-
-    kind = "doc_id long, text string, leaf_chars array<long>, leaf_tokens array<long>, "
-    edits = "edits array<struct<start:int,length:int,replacement:string>>"
-    return recount(rows.mapInArrow(run, kind + edits), vocabulary)
-
-
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document before and after three edits, and what was encoded for them."""
     docs = read(spark, sf_dir, "documents")
     trees = staged(build_trees(docs), "trees")
     edits = staged(sample_edits(docs), "edits")
-    return count_edited(docs, trees, edits)
+    return count_edited(docs, trees, edits).select(COUNTS)

@@ -1,64 +1,31 @@
-"""Byte-pair ids of whole texts, through a table of the segments between blanks."""
+"""Byte-pair ids of texts, through the rank file beside a byte-level vocabulary."""
 
 from __future__ import annotations
 
 import base64
 import functools
+import json
 import os
-import re
+from collections.abc import Callable
 
 import public_tokenizers
 import tiktoken
 
-#: A blank after white space: there the segments between blanks do not stand for themselves.
-_BLANK_AFTER_SPACE = re.compile(r"\s ")
-
-#: Segments whose ids are kept at a time.
-TABLE_SIZE = 200_000
-
 
 @functools.lru_cache(maxsize=2)
 def encoding(vocabulary: str) -> tiktoken.Encoding:
-    """The rank file beside a byte-level vocabulary; both give the same ids."""
-    path = os.path.splitext(public_tokenizers.path(vocabulary))[0] + ".tiktoken"
-    with open(path, "rb") as f:
+    """The rank file beside a vocabulary, with the vocabulary's added tokens; both give the same ids."""
+    path = public_tokenizers.path(vocabulary)
+    with open(path, encoding="utf-8") as f:
+        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    with open(os.path.splitext(path)[0] + ".tiktoken", "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
     return tiktoken.Encoding(
-        "corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        "corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added
     )
 
 
-class SegmentIds(dict):
-    """Ids of ``' ' + segment`` as little-endian 32-bit numbers.
-
-    A pre-token ends wherever white space follows anything else, so a text falls apart before each
-    single blank, and most parts are words that come again and again.
-    """
-
-    def __init__(self, vocabulary: str):
-        super().__init__()
-        self.encode = encoding(vocabulary).encode_ordinary
-
-    def raw(self, text: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self.encode(text))
-
-    def __missing__(self, segment: str) -> bytes:
-        if len(self) >= TABLE_SIZE:
-            self.clear()
-        got = self.raw(" " + segment)
-        if len(segment) < 64:
-            self[segment] = got
-        return got
-
-    def ids(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian 32-bit numbers."""
-        if _BLANK_AFTER_SPACE.search(text):
-            return self.raw(text)
-        first, *rest = text.split(" ")
-        return self.raw(first) + b"".join(map(self.__getitem__, rest))
-
-
-@functools.lru_cache(maxsize=2)
-def segment_ids(vocabulary: str) -> SegmentIds:
-    """The table of a Python worker."""
-    return SegmentIds(vocabulary)
+def token_ids(vocabulary: str) -> Callable[[str], bytes]:
+    """Ids of a text as little-endian 32-bit numbers; the name of an added token in it is that token."""
+    encode = encoding(vocabulary).encode_to_numpy
+    return lambda text: encode(text, allowed_special="all").astype("<u4").tobytes()

@@ -34,7 +34,6 @@ def test_query_equals_oracle(spark, duck, sf_dir, name):
 @pytest.fixture(scope="module")
 def encoded(duck):
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
     rows = duck.execute("SELECT doc_id, coalesce(text, '') FROM documents").fetchall()
     ids = whole.encode_batch([t for _, t in rows], add_special_tokens=False)
     return {i: e.ids for (i, _), e in zip(rows, ids, strict=True)}
