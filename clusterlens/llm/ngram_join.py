@@ -446,14 +446,17 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
 
 
 def representatives(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """One row of each component, with all its columns; rows without an id stay."""
+    """The row with the least id of each component, with all its columns; rows without an id stay.
+
+    Of rows with that id and equal texts one stays, of different texts under one id each does.
+    """
     found = jaccard_components(docs, size, percent)
     heads = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    rows = docs.join(heads, "doc_id", "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    place = "_row_of_id"
-    rows = rows.withColumn(place, F.row_number().over(one)).filter(F.col(place) == 1).drop(place)
-    return rows.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    whole = docs.select(F.struct("*").alias("row"))  # columns of any name are out of the way
+    rows = whole.join(heads, F.col("row.doc_id") == F.col("doc_id"), "left_semi")
+    one = Window.partitionBy("row.doc_id", F.xxhash64("row.text"), F.sha2("row.text", 256)).orderBy("row.doc_id")
+    rows = rows.withColumn("place", F.row_number().over(one)).filter("place = 1")
+    return rows.unionByName(whole.filter("row.doc_id IS NULL").withColumn("place", F.lit(1))).select("row.*")
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
