@@ -3,6 +3,7 @@ from clusterlens.operators.aggregates import (
     distinct_drift,
     distinct_values,
     join_text,
+    text_chunks,
     max_of,
     share_of_total,
     status_counts,
@@ -39,6 +40,7 @@ from clusterlens.operators.picks import (
     top1,
     union_results,
 )
+from clusterlens.operators.running import running_total
 from clusterlens.operators.series import counter_rates, days_to_limit
 from clusterlens.operators.skew import (
     deviation_skew,
@@ -60,6 +62,8 @@ __all__ = [
     "first_per",
     "having",
     "join_text",
+    "running_total",
+    "text_chunks",
     "keep_found",
     "keep_in",
     "keep_not_in",

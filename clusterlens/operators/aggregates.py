@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clusterlens.functions import lenient_double
-from clusterlens.operators.picks import lead_text
+from clusterlens.operators.running import running_total
+
+#: Characters of a chunk of joined text.
+CHUNK_CHARS = 1 << 15
 
 
 def sum_by(
@@ -89,14 +92,32 @@ def status_counts(results: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def join_text(
-    df: DataFrame, keys: Sequence[str], col: str, sep: str = ", ", lead: int = 20
+    df: DataFrame, keys: Sequence[str], col: str, sep: str = ", ", chunk_chars: int = CHUNK_CHARS
 ) -> DataFrame:
-    """Distinct texts of a key in order, joined, with their number.
+    """Distinct texts of a key in order, joined, as numbered chunks with their number of texts."""
+    names = distinct_values(df.filter(F.col(col).isNotNull()), keys, col)
+    return text_chunks(names, keys, col, [col], sep, chunk_chars)
+
 
-    One cell cannot hold an unbounded group: the text shows the first ``lead`` entries and
-    ``n`` says how many there are; ``distinct_values`` gives all of them as rows.
+def text_chunks(
+    df: DataFrame,
+    keys: Sequence[str],
+    col: str,
+    order: Sequence[str],
+    sep: str = ", ",
+    chunk_chars: int = CHUNK_CHARS,
+) -> DataFrame:
+    """Texts of a key in order, joined: keys, chunk (from 0), n, text. ``order`` tells the rows apart.
+
+    Nothing is left out, and no cell is unbounded: a text belongs to the chunk in which the texts before
+    it end, so a chunk has ``chunk_chars`` characters and one text at most.
     """
-    names = distinct_values(df.filter(F.col(col).isNotNull()), keys, col)
-    counts = names.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    texts = lead_text(names, keys, col, [col], sep, lead, alias="text")
-    return counts.join(texts, on=list(keys))
+    size = F.char_length(col) + len(sep)
+    rows = running_total(df.select(*dict.fromkeys([*keys, *order, col])), keys, order, size, "before")
+    chunk = F.floor(F.col("before") / F.lit(chunk_chars)).alias("chunk")
+    item = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], F.col(col).alias("item"))
+    parts = rows.select(*keys, chunk, item.alias("row")).groupBy(*keys, "chunk")
+    return parts.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array_join(F.array_sort(F.collect_list("row")).getField("item"), sep).alias("text"),
+    )

@@ -38,7 +38,8 @@ def _payload(s: int) -> str:
         ',"client_proxy":', c_custkey * {s} * 100000, ',"batch_sub_read_success":', c_custkey % 90,
         ',"batch_sub_read_error":', c_custkey % 10, ',"data_used_bytes":', c_custkey * 1000,
         ',"pi_query_total":', c_custkey % 2, ',"index-type":"flash","below":-1,"power":"1e3",',
-        '"index-type.mount[0].age":', c_custkey % 5, '}}}}"""
+        '"index-type.', CASE WHEN concat('c', c_nationkey) < 'c2' THEN 'mount' ELSE 'shm' END,
+        '[0].age":', c_custkey % 5, '}}}}"""
         for i in range(2)
     )
     config = ",".join(
@@ -134,7 +135,7 @@ LENS: dict[str, str] = {
                                WHEN 'signup' THEN 'service.client_delete_not_found'
                                ELSE 'service.client_delete_success' END AS metric,
                cast(count(*) * CASE WHEN user_id % 3 = 0 THEN 10000 ELSE 1 END AS double) AS value
-        FROM events WHERE NOT (event_type = 'error' AND user_id % 3 = 2)
+        FROM events
         GROUP BY user_id % 3, user_id % 8, user_id % 2, event_type""",
     "lens_sets": """
         SELECT 'c0' AS cluster_id,

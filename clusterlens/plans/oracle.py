@@ -113,7 +113,7 @@ def _settings_rule(rule_id, seen, flagged, label, passed, found) -> str:
       SELECT cluster_id, string_agg(label, ', ' ORDER BY rn) AS names FROM (
         SELECT cluster_id, label, row_number() OVER (
           PARTITION BY cluster_id ORDER BY entity) AS rn FROM hit WHERE flagged) t
-      WHERE rn <= 10 GROUP BY cluster_id),
+      GROUP BY cluster_id),
     agg AS (
       SELECT cluster_id, count(*) AS n_seen, count(*) FILTER (flagged) AS n FROM hit
       GROUP BY cluster_id)
@@ -184,7 +184,7 @@ RULE_SQL: dict[str, str] = {
       FROM versions),
     agg AS (
       SELECT cluster_id, count(*) AS k, sum(n) AS total,
-             string_agg(value || ' (' || n || ' nodes)', ', ' ORDER BY rn) FILTER (rn <= 10) AS names
+             string_agg(value || ' (' || n || ' nodes)', ', ' ORDER BY rn) AS names
       FROM ranked GROUP BY cluster_id)
     SELECT cluster_id, '1.c' AS id,
       CASE WHEN k > 1 THEN 'WARNING' ELSE 'PASS' END AS status,
@@ -229,7 +229,7 @@ RULE_SQL: dict[str, str] = {
       SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY config_name) AS rn FROM varied),
     agg AS (
       SELECT cluster_id, count(*) AS n, max(v) AS most,
-             string_agg(config_name, ', ' ORDER BY rn) FILTER (rn <= 10) AS names
+             string_agg(config_name, ', ' ORDER BY rn) AS names
       FROM ranked GROUP BY cluster_id)
     SELECT cluster_id, '3.a' AS id, 'WARNING' AS status,
       n || ' settings differ between nodes: ' || names || '.' AS message,
@@ -274,9 +274,13 @@ RULE_SQL: dict[str, str] = {
       SELECT *, dev / mean * 100.0 AS pct,
              n >= 2 AND mean >= 1000 AND dev / mean * 100.0 > 10 AS skewed FROM sets),
     agg AS (
-      SELECT cluster_id, count(*) FILTER (skewed) AS k, max(CASE WHEN skewed THEN pct END) AS most
+      SELECT cluster_id, count(*) FILTER (skewed) AS k, max(CASE WHEN skewed THEN pct END) AS most,
+             string_agg(concat(ns, ':', set_name, ' (', format('{:.1f}', pct), '% skew)'), ', '
+                        ORDER BY ns || ':' || set_name) FILTER (skewed) AS names
       FROM judged GROUP BY cluster_id)
     SELECT cluster_id, '4.f' AS id, CASE WHEN k > 0 THEN 'WARNING' ELSE 'PASS' END AS status,
+      CASE WHEN k > 0 THEN k || ' sets are unevenly spread over the nodes: ' || names || '.'
+           ELSE 'Sets are evenly spread over the nodes.' END AS message,
       CAST(k AS DOUBLE) AS n_findings, most AS max_score
     FROM agg""",
     "5.a": f"""

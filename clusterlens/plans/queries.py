@@ -88,7 +88,7 @@ RULE_QUERIES: dict[str, tuple[str, dict[str, str], list[str], bool]] = {
     "r4a_hot_key": ("4.a", {"namespace_stats": "lens_ns_counters"}, ["total"], True),
     "r4b_read_miss": ("4.b", {"namespace_stats": "lens_ns_counters"}, ["total"], True),
     "r4c_delete_miss": ("4.c", {"namespace_stats": "lens_ns_counters"}, ["total"], True),
-    "r4f_set_skew": ("4.f", {"set_stats": "lens_sets"}, ["n_findings", "max_score"], False),
+    "r4f_set_skew": ("4.f", {"set_stats": "lens_sets"}, ["n_findings", "max_score"], True),
     "r5a_capacity": ("5.a", {"namespace_stats": "lens_ns"}, ["peak"], True),
 }
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clusterlens import operators as op
 from clusterlens import report, rules
 from clusterlens.plans.lens import lens
-from clusterlens.plans.oracle import ORACLE, RULE_SQL
+from clusterlens.plans.oracle import _SETTINGS, ORACLE, RULE_SQL
 from clusterlens.plans.queries import C, QUERIES, lens_tables, security
 from clusterlens.plans.queries_operators import query
 from clusterlens.plans.queries_telemetry import (
@@ -20,8 +20,8 @@ from clusterlens.plans.queries_telemetry import (
     day,
     fleet_tables,
 )
-from clusterlens.report.datasets import VITALS
-from clusterlens.rules.core import RULE_ORDER
+from clusterlens.report.datasets import DEFAULT_REMEDIATION, VITALS
+from clusterlens.rules.core import ADVICE, RULE_ORDER
 from clusterlens.rules.registry import REGISTRY
 
 # --- the whole ruleset -----------------------------------------------------------------------------
@@ -40,14 +40,13 @@ def run_all_sql(sources: dict[str, str], ids: list[str] = RULE_ORDER) -> str:
         sql = RULE_SQL[rule_id]
         for name, source in sources.items():
             sql = sql.replace("{" + name + "}", source)
-        message = "CAST(NULL AS VARCHAR)" if rule_id == "4.f" else "message"
-        return f"SELECT cluster_id, id, status, {message} AS message FROM ({sql})"
+        return f"SELECT cluster_id, id, status, message FROM ({sql})"
 
     grid = ",\n".join(
         "("
         + ", ".join(
             q(x)
-            for x in (r.id, r.name, r.table, *r.missing, *r.empty)
+            for x in (r.id, r.name, r.table, *r.missing, *r.empty, ADVICE[r.id])
         )
         + ")"
         for r in (REGISTRY[i] for i in ids)
@@ -64,10 +63,10 @@ def run_all_sql(sources: dict[str, str], ids: list[str] = RULE_ORDER) -> str:
       SELECT c.cluster_id, r.id, r.name,
         CASE WHEN cov.t IS NULL THEN r.missing_status ELSE coalesce(v.status, r.empty_status) END
           AS status,
-        CASE WHEN r.id = '4.f' THEN NULL WHEN cov.t IS NULL THEN r.missing_text
-             ELSE coalesce(v.message, r.empty_text) END AS message
+        CASE WHEN cov.t IS NULL THEN r.missing_text ELSE coalesce(v.message, r.empty_text) END AS message,
+        CASE WHEN cov.t IS NOT NULL AND v.status <> 'PASS' THEN r.advice END AS remediation
       FROM (SELECT DISTINCT cluster_id FROM ({cov})) c
-      CROSS JOIN (VALUES {grid}) r(id, name, tab, missing_status, missing_text, empty_status, empty_text)
+      CROSS JOIN (VALUES {grid}) r(id, name, tab, missing_status, missing_text, empty_status, empty_text, advice)
       LEFT JOIN ({cov}) cov ON cov.cluster_id = c.cluster_id AND cov.t = r.tab
       LEFT JOIN ({verdicts}) v ON v.cluster_id = c.cluster_id AND v.id = r.id"""
 
@@ -104,9 +103,8 @@ def lens_results(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shown(results: DataFrame, cluster: Column) -> DataFrame:
-    """Comparable columns; the one message with a rounded number is left out."""
-    message = F.when(F.col("id") != "4.f", F.col("message"))
-    return results.select(cluster.alias("cluster_id"), "id", "name", "status", message.alias("message"))
+    """Comparable columns: all but the evidence, which the rules' own queries compare."""
+    return results.select(cluster.alias("cluster_id"), "id", "name", "status", "message", "remediation")
 
 
 @query("run_all", LENS_RESULTS)
@@ -159,27 +157,55 @@ def rint_validate(spark, d):
 
 @query(
     "findings",
-    """WITH ver AS (SELECT cluster_id, value, count(*) AS n, count(*) OVER (PARTITION BY cluster_id) AS k
+    f"""WITH ver AS (SELECT cluster_id, value, count(*) AS n, count(*) OVER (PARTITION BY cluster_id) AS k
                     FROM lens_ver GROUP BY cluster_id, value),
+       {_SETTINGS.replace("{node_configs}", "lens_cfg")},
        sets AS (SELECT cluster_id, ns, set_name, count(*) AS n, avg(CAST(value AS DOUBLE)) AS mean,
                        greatest(max(CAST(value AS DOUBLE)) - avg(CAST(value AS DOUBLE)),
                                 avg(CAST(value AS DOUBLE)) - min(CAST(value AS DOUBLE))) AS dev
                 FROM lens_sets GROUP BY ALL)
-       SELECT cluster_id, '1.c' AS id, value AS entity, CAST(n AS DOUBLE) AS score FROM ver WHERE k > 1
+       SELECT cluster_id, '1.c' AS id, value AS entity, value || ' (' || n || ' nodes)' AS detail,
+              CAST(n AS DOUBLE) AS score FROM ver WHERE k > 1
        UNION ALL
-       SELECT cluster_id, '3.a', config_name, CAST(count(DISTINCT value) AS DOUBLE) FROM lens_cfg
+       SELECT cluster_id, '2.a', ns, ns, NULL FROM ns_
+       WHERE seen_a AND flash_a AND has_sindex AND NOT sindex_flash
+       UNION ALL
+       SELECT cluster_id, '2.b', ns, ns || ' (' || sprigs || ' sprigs)', CAST(sprigs AS DOUBLE) FROM ns_
+       WHERE seen_b AND flash_b AND CAST(sprigs AS BIGINT) <= 256
+       UNION ALL
+       SELECT cluster_id, '2.c', ns, ns || ' (defrag ' || defrag || '%, high water ' || hwm || '%)',
+              CAST(defrag AS DOUBLE) FROM ns_
+       WHERE seen_c AND (CAST(defrag AS BIGINT) < 40 OR CAST(defrag AS BIGINT) < CAST(hwm AS BIGINT))
+       UNION ALL
+       SELECT cluster_id, '3.a', config_name, config_name, CAST(count(DISTINCT value) AS DOUBLE) FROM lens_cfg
        GROUP BY cluster_id, config_name HAVING count(DISTINCT value) > 1
        UNION ALL
-       SELECT l.cluster_id, '3.b', l.config_name, CAST(count(*) AS DOUBLE)
+       SELECT l.cluster_id, '3.b', l.config_name, l.config_name, CAST(count(*) AS DOUBLE)
        FROM lens_cfg l JOIN lens_static s USING (cluster_id, node_id, config_name)
        WHERE l.value <> s.value GROUP BY ALL
        UNION ALL
-       SELECT cluster_id, '4.f', ns || ':' || set_name, dev / mean * 100.0 FROM sets
+       SELECT cluster_id, '4.f', ns || ':' || set_name,
+              concat(ns, ':', set_name, ' (', format('{{:.1f}}', dev / mean * 100.0), '% skew)'),
+              dev / mean * 100.0 FROM sets
        WHERE n >= 2 AND mean >= 1000 AND dev / mean * 100.0 > 10""",
 )
 def findings(spark, d):
-    found = rules.findings(lens_tables(spark, d), C, ["1.c", "3.a", "3.b", "4.f"])
-    return found.select("cluster_id", "id", "entity", "score")
+    return rules.findings(lens_tables(spark, d), C)
+
+
+@query(
+    "finding_texts",
+    """WITH f AS (SELECT cluster_id, config_name AS entity FROM lens_cfg
+                  GROUP BY cluster_id, config_name HAVING count(DISTINCT value) > 1),
+       r AS (SELECT *, coalesce(sum(length(entity) + 2) OVER (
+               PARTITION BY cluster_id ORDER BY entity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+               // 500 AS chunk FROM f)
+       SELECT cluster_id, '3.a' AS id, CAST(chunk AS BIGINT) AS chunk, count(*) AS n,
+              string_agg(entity, ', ' ORDER BY entity) AS text FROM r GROUP BY ALL""",
+)
+def finding_texts(spark, d):
+    found = rules.findings({"node_configs": lens(spark, d, "lens_cfg")}, C, ["3.a"])
+    return rules.finding_texts(found, C, 500)
 
 
 # --- report datasets ---------------------------------------------------------------------------------
@@ -211,7 +237,8 @@ _CONTEXT_SQL = f"""
     n AS (SELECT concat('c', c_nationkey) AS cluster_id, count(*) AS node_count FROM customer GROUP BY 1),
     f AS (SELECT cluster_id, day, string_agg(DISTINCT feature, ', ' ORDER BY feature) AS active_features
           FROM ({_FEATURE_SQL}) GROUP BY ALL)
-    SELECT w.*, n.node_count, 'Flash (All-Flash)' AS index_location, f.active_features
+    SELECT w.*, n.node_count, CASE WHEN cluster_id < 'c2' THEN 'Flash (All-Flash)' ELSE 'RAM (shmem)' END
+      AS index_location, f.active_features
     FROM w JOIN n USING (cluster_id) JOIN f USING (cluster_id, day)"""
 
 _CONTEXT_TABLES = ("cluster_metadata", "node_stats", "namespace_stats", "active_features")
@@ -234,18 +261,21 @@ def _assessment_sql(warnings: str, limit: int) -> str:
              count(*) FILTER ({warnings}) AS warn_count
       FROM ({LENS_RESULTS}) GROUP BY cluster_id)
     SELECT *, CASE WHEN crit_count > 0 THEN 'immediate intervention'
-                   WHEN warn_count > {limit} THEN 'resource pressure' ELSE 'healthy' END AS level
+                   WHEN warn_count > {limit} THEN 'resource pressure' ELSE 'healthy' END AS level,
+              CASE WHEN crit_count > 0 THEN crit_count || ' critical findings need immediate intervention.'
+                   WHEN warn_count > {limit} THEN warn_count || ' findings are signs of resource pressure.'
+                   ELSE 'The cluster is healthy.' END AS assessment
     FROM c"""
 
 
 @query("p2_assessment", _assessment_sql("status IN ('WARNING', 'DATA MISSING')", 0))
 def p2(spark, d):
-    return report.assessment(lens_results(spark, d), keys=C).drop("assessment")
+    return report.assessment(lens_results(spark, d), keys=C)
 
 
 @query("p2_assessment_older", _assessment_sql("status = 'WARNING'", 3))
 def p2_older(spark, d):
-    return report.assessment(lens_results(spark, d), "older", C).drop("assessment")
+    return report.assessment(lens_results(spark, d), "older", C)
 
 
 def _mark_sql(status: str, other: str) -> str:
@@ -290,20 +320,22 @@ def p4(spark, d):
 @query(
     "p5_issues",
     f"""SELECT cluster_id, id, name, status,
-              CASE status WHEN 'CRITICAL' THEN 'important' ELSE 'warning' END AS callout
+              CASE status WHEN 'CRITICAL' THEN 'important' ELSE 'warning' END AS callout,
+              message, coalesce(remediation, '{DEFAULT_REMEDIATION}') AS remediation
         FROM ({LENS_RESULTS}) WHERE status <> 'PASS'""",
 )
 def p5(spark, d):
-    return report.issues(lens_results(spark, d), C).drop("message", "remediation")
+    return report.issues(lens_results(spark, d), C)
 
 
 @query(
     "p6_appendix",
-    f"""SELECT cluster_id, id, name, {_mark_sql('status', '⚠️')} || ' ' || status AS status
+    f"""SELECT cluster_id, id, name, {_mark_sql('status', '⚠️')} || ' ' || status AS status,
+               trim(message) AS summary
         FROM ({LENS_RESULTS}) ORDER BY id""",
 )
 def p6(spark, d):
-    return report.appendix(lens_results(spark, d), C).drop("summary")
+    return report.appendix(lens_results(spark, d), C)
 
 
 @query(

@@ -328,15 +328,12 @@ def j2(spark, d):
     """SELECT n.cluster_id, n.node_id, n.metric, n.value,
               coalesce(m.cloud_platform, 'Unknown') AS platform
        FROM lens_ns n LEFT JOIN (
-         SELECT DISTINCT cluster_id, cloud_platform FROM lens_driver
-         WHERE cloud_platform <> 'Azure') m USING (cluster_id)""",
+         SELECT DISTINCT cluster_id, cloud_platform FROM lens_driver) m USING (cluster_id)""",
 )
 def j3(spark, d):
     _, meta = drivers(spark, d)
     rows = lens(spark, d, "lens_ns").select("cluster_id", "node_id", "metric", "value")
-    return op.with_metadata(
-        rows, meta.filter(F.col("value") != "Azure"), "cloud_platform", keys=C, alias="platform"
-    )
+    return op.with_metadata(rows, meta, "cloud_platform", keys=C, alias="platform")
 
 
 @query(
@@ -483,13 +480,15 @@ def a10(spark, d):
 @query(
     "a12_join_text",
     """WITH n AS (SELECT DISTINCT cluster_id, config_name FROM lens_cfg),
-       r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY config_name) AS rn FROM n)
-       SELECT cluster_id, count(*) AS n,
-              string_agg(config_name, '; ' ORDER BY rn) FILTER (rn <= 20) AS text
-       FROM r GROUP BY cluster_id""",
+       r AS (SELECT *, coalesce(sum(length(config_name) + 2) OVER (
+               PARTITION BY cluster_id ORDER BY config_name
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 1000 AS chunk FROM n)
+       SELECT cluster_id, CAST(chunk AS BIGINT) AS chunk, count(*) AS n,
+              string_agg(config_name, '; ' ORDER BY config_name) AS text
+       FROM r GROUP BY ALL""",
 )
 def a12(spark, d):
-    return op.join_text(lens(spark, d, "lens_cfg"), C, "config_name", "; ")
+    return op.join_text(lens(spark, d, "lens_cfg"), C, "config_name", "; ", chunk_chars=1000)
 
 
 # --- picks -----------------------------------------------------------------------------------------

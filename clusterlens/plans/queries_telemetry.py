@@ -437,12 +437,11 @@ def n7(spark, d):
         FROM lens_nodes""",
 )
 def n14(spark, d):
-    """Mounts are taken from half of the clusters, so that both answers occur."""
+    """The documents of half of the clusters name mounts, so both answers occur."""
     all_nodes = nodes(spark, d)
     clusters = all_nodes.select("run_id", "snapshot_ts", "cluster_id").distinct()
     meta = metadata.extract_metadata(all_nodes)
     stats = tables.extract_namespace_stats(all_nodes)
-    stats = stats.filter((F.col("cluster_id") < "c2") | ~F.col("metric").contains("mount"))
     return metadata.index_location(clusters, meta, stats).select(*["cluster_id"], day(), "index_location")
 
 
@@ -474,17 +473,20 @@ def n15(spark, d):
         UNION ALL SELECT 'cluster_metadata', cluster_id, count(*) FROM ({_META_SQL}) GROUP BY ALL
         UNION ALL SELECT 'security_stats', cluster_id, 3 * count(*) FROM lens_nodes GROUP BY ALL
         UNION ALL SELECT 'set_stats', cluster_id, 3 * count(*) FROM lens_nodes GROUP BY ALL
-        UNION ALL SELECT 'system_info', cluster_id, 3 * count(*) FROM lens_nodes GROUP BY ALL""",
+        UNION ALL SELECT 'system_info', cluster_id, 3 * count(*) FROM lens_nodes GROUP BY ALL
+        UNION ALL SELECT 'node_stats', cluster_id, count(*) FROM ({_TREE.replace('{root}', '')})
+        WHERE type NOT IN ('OBJECT', 'NULL') GROUP BY ALL
+        UNION ALL SELECT 'node_configs', cluster_id, count(*) FROM ({_TREE.replace('{root}', '')})
+        WHERE path LIKE 'as_stat.config.%' AND type <> 'OBJECT' GROUP BY ALL""",
 )
 def j6(spark, d):
-    """Rows of every table but the two widest, which have queries of their own."""
+    """Rows of every table."""
     made = run_extractors(sources.staged(nodes(spark, d), "j6"))
     parts = [
         df.groupBy("cluster_id")
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.lit(name).alias("table_name"), "cluster_id", "n")
         for name, df in made.items()
-        if name not in ("node_stats", "node_configs")
     ]
     out = parts[0]
     for part in parts[1:]:

@@ -3,6 +3,7 @@ from clusterlens.rules.integrity import validate_results
 from clusterlens.rules.registry import REGISTRY, Rule, rule
 from clusterlens.rules.runner import (
     coverage,
+    finding_texts,
     findings,
     metric_names,
     run_all,
@@ -16,6 +17,7 @@ __all__ = [
     "catalog",
     "core",
     "coverage",
+    "finding_texts",
     "findings",
     "metric_names",
     "rule",

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +25,7 @@ from clusterlens.functions import (
 )
 from clusterlens.operators import filters as flt
 from clusterlens.operators import skew
-from clusterlens.operators.aggregates import distinct_drift
+from clusterlens.operators.aggregates import CHUNK_CHARS, distinct_drift
 from clusterlens.operators.joins import value_drift
 from clusterlens.operators.picks import lead_rows, union_results
 from clusterlens.rules.registry import Tables, evidence, rule, unpack, verdict
@@ -87,8 +87,49 @@ DEFAULTS: dict[str, dict[str, object]] = {
     "6.a": {"max_pct": 80, "min_conns": 100},
 }
 
-#: How many names a message spells out; ``runner.findings`` gives every one of them as a row.
-NAMES_IN_MESSAGE = 10
+_ERRORS_ADVICE = (
+    "A single node that fails more than its peers usually has a local fault. Read its logs, then check "
+    "disks, network interface and kernel messages of that host."
+)
+
+
+def _mark_advice(what: str) -> str:
+    return (
+        f"Above its {what} mark a namespace evicts records, and later refuses writes. Look for uneven "
+        "nodes, check that records expire, and add capacity."
+    )
+
+
+#: What to do about a result that is no PASS.
+ADVICE: dict[str, str] = {
+    "1.a": _ERRORS_ADVICE,
+    "1.a2": _ERRORS_ADVICE,
+    "1.b": "Plain drivers cost interrupt latency. Check that the instance type offers enhanced networking "
+    "and that its driver is loaded.",
+    "1.c": "Mixed versions are for rolling upgrades only. Bring all nodes to one release.",
+    "2.a": "An index that needs flash seldom fits beside others in memory. Move the secondary indexes of "
+    "these namespaces to flash and restart node by node.",
+    "2.b": "Few sprigs make deep trees and cost disk reads. Raise the sprig count; this needs a cold start.",
+    "2.c": "Raise the defragmentation mark of these namespaces, or lower their high-water mark.",
+    "2.d": _mark_advice("disk"),
+    "2.e": _mark_advice("memory"),
+    "3.a": "Uneven settings make some nodes slower than others. Compare the nodes and settle on one value "
+    "for each.",
+    "3.b": "Run-time changes are lost at the next restart. Bring the static configuration up to date.",
+    "4.a": "Many transactions wait for the same record. Find the namespace and node with the most of these "
+    "errors, then cache or split the hot keys.",
+    "4.b": "",
+    "4.c": "Deletes of absent records still cost a transaction. Look for double deletes and for records that "
+    "had already expired.",
+    "4.f": "Uneven sets fill some nodes early. Check how the partitions are spread.",
+    "5.a": "High use leaves no room for a lost node or a burst. Plan an expansion and find the namespaces that "
+    "grow.",
+    "6.a": "One user that takes most connections can lock others out. Review the pool size of that application "
+    "and look for connections that are never closed.",
+}
+
+#: Characters of names that a message spells out: the first chunk of ``runner.finding_texts``.
+NAMES_CHARS = CHUNK_CHARS
 DRIFT_NAMES_IN_MESSAGE = 3
 
 
@@ -188,12 +229,8 @@ def node_error_rules(
                 )
             )
         )
-        advice = (
-            "A single node that fails more than its peers usually has a local fault. Read its "
-            "logs, then check disks, network interface and kernel messages of that host."
-        )
         ev = evidence(total=total, mean=mean, peak=peak, n_rows=n)
-        verdicts.append((n > 0, verdict(status, message, advice, ev, rule_id)))
+        verdicts.append((n > 0, verdict(status, message, ADVICE[rule_id], ev, rule_id)))
     return unpack(nodes.groupBy(*keys).agg(*aggs), keys, *verdicts)
 
 
@@ -259,12 +296,8 @@ def network_acceleration(
     message = F.when(
         slow, F.lit("No accelerated network driver was found on an AWS platform.")
     ).otherwise(msg("Network acceleration needs no attention on platform %s.", platform))
-    advice = (
-        "Plain drivers cost interrupt latency. Check that the instance type offers enhanced "
-        "networking and that its driver is loaded."
-    )
     ev = evidence(driver_rows=n_rows, fast_rows=n_fast)
-    v = verdict(status, message, advice, ev)
+    v = verdict(status, message, ADVICE["1.b"], ev)
     return joined.select(*keys, v.alias("v")).select(*keys, "v.*")
 
 
@@ -340,14 +373,10 @@ def namespace_rules(
                 F.col(f"{col}_worst.node_id"),
             )
         )
-        advice = (
-            f"Above its {what} mark a namespace evicts records, and later refuses writes. Look "
-            "for uneven nodes, check that records expire, and add capacity."
-        )
         verdicts.append(
             (
                 F.col(f"{col}_worst").isNotNull(),
-                verdict(status, message, advice, evidence(peak=peak), rule_id),
+                verdict(status, message, ADVICE[rule_id], evidence(peak=peak), rule_id),
             )
         )
 
@@ -362,19 +391,10 @@ def namespace_rules(
         aggs.append(F.sum(col).alias(f"{col}_total"))
         if rule_id == "4.a":
             over = total > 0
-            advice = (
-                "Many transactions wait for the same record. Find the namespace and node with "
-                "the most of these errors, then cache or split the hot keys."
-            )
         elif rule_id == "4.b":
             over = F.lit(False)
-            advice = ""
         else:
             over = total > float(_params(params, "4.c")["limit"])
-            advice = (
-                "Deletes of absent records still cost a transaction. Look for double deletes "
-                "and for records that had already expired."
-            )
         status = F.when(over, F.lit(S.WARNING)).otherwise(F.lit(S.PASS))
         message = F.when(total == 0, F.lit(f"No '{what}' events were counted.")).otherwise(
             msg(f"%s '{what}' events were counted in the cluster.", thousands(total))
@@ -382,7 +402,7 @@ def namespace_rules(
         verdicts.append(
             (
                 total.isNotNull(),
-                verdict(status, message, advice, evidence(total=total), rule_id),
+                verdict(status, message, ADVICE[rule_id], evidence(total=total), rule_id),
             )
         )
 
@@ -396,14 +416,10 @@ def namespace_rules(
             .when(status == S.WARNING, msg("Plan an expansion: peak use is %s%%.", as_int_text(peak)))
             .otherwise(msg("Resource use is healthy: peak %s%%.", as_int_text(peak)))
         )
-        advice = (
-            "High use leaves no room for a lost node or a burst. Plan an expansion and find the "
-            "namespaces that grow."
-        )
         verdicts.append(
             (
                 peak.isNotNull(),
-                verdict(status, message, advice, evidence(peak=peak), "5.a"),
+                verdict(status, message, ADVICE["5.a"], evidence(peak=peak), "5.a"),
             )
         )
     return unpack(facts.groupBy(*keys).agg(*aggs), keys, *verdicts)
@@ -696,7 +712,7 @@ def _entity_verdict(rule_id: str) -> Column:
         max_score="max_score",
     )
 
-    def judge(found: Column, warn: Column, passed: Column, advice: str, can_break=False) -> Column:
+    def judge(found: Column, warn: Column, passed: Column, can_break=False) -> Column:
         status = F.when(found, F.lit(S.WARNING)).otherwise(F.lit(S.PASS))
         message = F.when(found, warn).otherwise(passed)
         if can_break:
@@ -705,56 +721,45 @@ def _entity_verdict(rule_id: str) -> Column:
                 broken,
                 msg("Error: %s settings are not integers.", F.col("n_broken").cast("string")),
             ).otherwise(message)
-        return verdict(status, message, advice, ev)
+        return verdict(status, message, ADVICE[rule_id], ev)
 
     verdicts = {
         "1.c": lambda: judge(
             n > 1,
             msg("Nodes run %s different versions: %s.", count, names),
             msg("All nodes run the same version: %s.", names),
-            "Mixed versions are for rolling upgrades only. Bring all nodes to one release.",
         ),
         "2.a": lambda: judge(
             n > 0,
             msg("%s namespaces keep secondary indexes in memory, the primary on flash: %s.", count, names),
             F.lit("Secondary indexes are placed like the primary index."),
-            "An index that needs flash seldom fits beside others in memory. Move the secondary "
-            "indexes of these namespaces to flash and restart node by node.",
         ),
         "2.b": lambda: judge(
             n > 0,
             msg("%s namespaces with an index on flash have few sprigs: %s.", count, names),
             F.lit("Sprig counts fit the index storage."),
-            "Few sprigs make deep trees and cost disk reads. Raise the sprig count; this needs a "
-            "cold start.",
             can_break=True,
         ),
         "2.c": lambda: judge(
             n > 0,
             msg("%s namespaces may fill up before space is reclaimed: %s.", count, names),
             F.lit("Space is reclaimed before records are evicted."),
-            "Raise the defragmentation mark of these namespaces, or lower their high-water mark.",
             can_break=True,
         ),
         "3.a": lambda: judge(
             n > 0,
             msg("%s settings differ between nodes: %s.", count, names),
             F.lit("All settings are the same on every node."),
-            "Uneven settings make some nodes slower than others. Compare the nodes and settle on "
-            "one value for each.",
         ),
         "3.b": lambda: judge(
             total > 0,
             msg("%s running settings differ from the static ones: %s.", total.cast("string"), names),
             F.lit("Running and static settings agree."),
-            "Run-time changes are lost at the next restart. Bring the static configuration up to "
-            "date.",
         ),
         "4.f": lambda: judge(
             n > 0,
             msg("%s sets are unevenly spread over the nodes: %s.", count, names),
             F.lit("Sets are evenly spread over the nodes."),
-            "Uneven sets fill some nodes early. Check how the partitions are spread.",
         ),
     }
     return verdicts[rule_id]()
@@ -786,8 +791,11 @@ def entity_rules(
         rows.filter(flagged).select(*by, "entity", "label", "rank"),
         by,
         [F.col("rank").desc(), F.col("entity")],
-        NAMES_IN_MESSAGE,
+        NAMES_CHARS // 3,  # a name and the text behind it have three characters at least
     ).filter((F.col("id") != "3.b") | (F.col("rn") <= DRIFT_NAMES_IN_MESSAGE))
+    before = Window.partitionBy(*by).orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.sum(F.char_length("label") + 2).over(before)
+    lead = lead.withColumn("before", F.coalesce(size, F.lit(0))).filter(F.col("before") < NAMES_CHARS)
     texts = lead.groupBy(*by).agg(
         F.array_join(
             F.array_sort(F.collect_list(F.struct("rn", "label"))).getField("label"), ", "
@@ -882,12 +890,8 @@ def connection_audit(
         )
         .otherwise(msg("Connections are spread well: user %s leads with %s%%.", user, pct))
     )
-    advice = (
-        "One user that takes most connections can lock others out. Review the pool size of that "
-        "application and look for connections that are never closed."
-    )
     ev = evidence(total="total", top_amount="top_amount", top_pct="top_pct", n_users="n_entities")
-    v = verdict(status, message, advice, ev)
+    v = verdict(status, message, ADVICE["6.a"], ev)
     return top.select(*keys, v.alias("v")).select(*keys, "v.*")
 
 

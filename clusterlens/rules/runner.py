@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clusterlens import schema as S
+from clusterlens.operators.aggregates import CHUNK_CHARS, text_chunks
 from clusterlens.operators.picks import union_results
 from clusterlens.rules.core import ENTITY_RULE_TABLES, RULE_ORDER, entities
 from clusterlens.rules.registry import REGISTRY, Rule, Tables
@@ -285,3 +286,10 @@ def findings(
         several.select(*keys, "id"), on=[*keys, "id"], how="left_semi"
     )
     return rows.filter(F.col("id") != "1.c").unionByName(mixed)
+
+
+def finding_texts(
+    found: DataFrame, keys: Sequence[str] = S.KEYS, chunk_chars: int = CHUNK_CHARS
+) -> DataFrame:
+    """All findings of a rule as text in numbered chunks: keys, id, chunk, n, text. No finding is left out."""
+    return text_chunks(found, [*keys, "id"], "detail", ["entity", "detail"], ", ", chunk_chars)
