@@ -41,7 +41,13 @@ from clusterlens.operators.picks import (
     union_results,
 )
 from clusterlens.operators.running import running_total
-from clusterlens.operators.series import counter_rates, days_to_limit
+from clusterlens.operators.series import (
+    advance_series,
+    counter_rates,
+    days_to_limit,
+    days_to_limit_after,
+    line_moments,
+)
 from clusterlens.operators.skew import (
     deviation_skew,
     mean_skew,
@@ -50,9 +56,11 @@ from clusterlens.operators.skew import (
 )
 
 __all__ = [
+    "advance_series",
     "count_distinct",
     "counter_rates",
     "days_to_limit",
+    "days_to_limit_after",
     "deviation_skew",
     "distinct_drift",
     "distinct_values",
@@ -70,6 +78,7 @@ __all__ = [
     "last_wins",
     "lead_text",
     "like_any",
+    "line_moments",
     "max_of",
     "mean_skew",
     "metric_ilike",

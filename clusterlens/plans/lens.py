@@ -194,6 +194,20 @@ LENS: dict[str, str] = {
                      concat('n', cast(user_id % 8 AS varchar(20))) AS node_id,
                      cast(ts AS date) AS d, cast(count(*) AS double) AS n
               FROM events GROUP BY 1, 2, 3) t""",
+    # Readings of a node over the days, in three runs: two days, some weeks, and the rest.
+    "lens_runs": """
+        SELECT cluster_id, node_id, d, used_pct, busy,
+               CASE WHEN d < first_day + INTERVAL '2' DAY THEN 'r1'
+                    WHEN d < first_day + INTERVAL '15' DAY THEN 'r2' ELSE 'r3' END AS run_id
+        FROM (SELECT cluster_id, node_id, d, min(d) OVER () AS first_day,
+                     sum(n) OVER (PARTITION BY cluster_id, node_id ORDER BY d)
+                       / CASE WHEN cluster_id = 'c0' THEN 16.0 ELSE 64.0 END AS used_pct,
+                     sum(errors) OVER (PARTITION BY cluster_id, node_id ORDER BY d) * 2000000.0 AS busy
+              FROM (SELECT concat('c', cast(user_id % 3 AS varchar(20))) AS cluster_id,
+                           concat('n', cast(user_id % 8 AS varchar(20))) AS node_id,
+                           cast(ts AS date) AS d, cast(count(*) AS double) AS n,
+                           cast(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS double) AS errors
+                    FROM events GROUP BY 1, 2, 3) t) u""",
     # One JSON document per customer, holding two snapshots of one node.
     "lens_docs": _docs(),
     # The node payloads inside these documents.

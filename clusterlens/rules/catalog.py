@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from clusterlens import schema as S
 from clusterlens.functions import dotted_part, last_part, lenient_double, msg
 from clusterlens.operators.filters import metric_in
-from clusterlens.operators.series import counter_rates, days_to_limit
+from clusterlens.operators.series import counter_rates, days_to_limit, days_to_limit_after
 from clusterlens.operators.skew import deviation_skew
 from clusterlens.rules.core import first_alias, node_errors, number
+from clusterlens.rules.metrics import namespace_metrics
 from clusterlens.rules.registry import Tables, evidence, rule, verdict
+from clusterlens.rules.series import days, state_of
 
-# Day zero of the forecast axis, and how huge pages are reported as enabled.
-EPOCH_DAY = "2024-01-01"
+# How huge pages are reported as enabled.
 THP_METRICS = ["transparent_hugepage", "transparent-huge-pages", "thp"]
 THP_ENABLED = r"\[always\]|^always$|^enabled$|^true$"
 FREE_MEMORY = "system_free_mem_pct"
@@ -34,11 +35,6 @@ def service_names(*metrics: str) -> list[str]:
     return [p + m for m in metrics for p in ("as_stat.statistics.service.", "service.", "")]
 
 
-def namespace_names(*metrics: str) -> list[str]:
-    """Spellings of a namespace statistic."""
-    return [p + m for m in metrics for p in ("service.", "")]
-
-
 def node_metric(
     tables: Tables, keys: Sequence[str], *metrics: str, alias: str = "x"
 ) -> DataFrame:
@@ -50,16 +46,6 @@ def node_metric(
     )
 
 
-def namespace_metrics(tables: Tables, keys: Sequence[str], **metrics: str) -> DataFrame:
-    """Several statistics per node and namespace side by side, from one scan."""
-    wanted = {alias: namespace_names(m) for alias, m in metrics.items()}
-    rows = metric_in(tables["namespace_stats"], [n for names in wanted.values() for n in names])
-    value = number(rows)
-    return rows.groupBy(*keys, "node_id", "namespace").agg(
-        *[first_alias(names, value, F.max).alias(alias) for alias, names in wanted.items()]
-    )
-
-
 def namespace_config(tables: Tables, keys: Sequence[str], setting: str, alias: str) -> DataFrame:
     """One setting per node and namespace."""
     cfg = tables["node_configs"].filter(F.col("config_name").ilike(f"namespace.%.{setting}"))
@@ -167,7 +153,7 @@ def huge_pages(
         on.cast("double"),
         on,
         "Nodes with transparent huge pages",
-        "Huge pages cause latency spikes. Turn them off in the operating system.",
+        "The kernel moves memory about while requests wait. Set the mode of these nodes to never and restart them.",
     )
 
 
@@ -301,10 +287,10 @@ def min_cluster_size(tables, keys=S.KEYS, strict_names=False):
 
 
 def _rate_rule(tables, keys, metric: str, limit: float, what: str, advice: str) -> DataFrame:
-    """Verdict per snapshot, from the counter's growth since the previous one."""
+    """Verdict per snapshot, from the counter's growth since the previous one, also of an earlier run."""
     series = [k for k in keys if k != "snapshot_ts"] + ["node_id", "namespace"]
     stats = namespace_metrics(tables, keys, x=metric)
-    rates = counter_rates(stats, series, "snapshot_ts", "x")
+    rates = counter_rates(stats, series, "snapshot_ts", "x", state=state_of(tables, metric))
     return _judge(
         rates,
         keys,
@@ -324,7 +310,7 @@ def hot_key_rate(tables, keys=S.KEYS, per_second: float = 100.0, strict_names=Fa
         "fail_key_busy",
         per_second,
         f"Namespaces with more than {per_second:g} key busy events per second",
-        "Clients fight for the same record. Cache it on the client side.",
+        "A few records take most of the writes. Find them in the logs of the worst node, then spread their updates over several keys or over time.",
     )
 
 
@@ -336,7 +322,7 @@ def proxy_rate(tables, keys=S.KEYS, per_second: float = 1000.0, strict_names=Fal
         "client_proxy",
         per_second,
         f"Namespaces with more than {per_second:g} proxied requests per second",
-        "Clients talk to the wrong nodes. Update their partition maps.",
+        "Requests take a second hop between nodes. Compare the node lists of the clients with the cluster and restart those that still use an old one.",
     )
 
 
@@ -466,14 +452,17 @@ def capacity_projection(
     metric: str = "data_used_pct",
     strict_names=False,
 ):
-    """Will a namespace pass its high-water mark within ``max_days``? Judged at the last snapshot."""
+    """Will a namespace pass its high-water mark within ``max_days``? Judged at the last snapshot, from
+    the readings of this run and, where a ``series`` table is given, of all before it."""
     cluster = [k for k in keys if k != "snapshot_ts"]
     stats = namespace_metrics(tables, keys, used=metric).filter(F.col("used").isNotNull())
-    day = (
-        F.unix_micros("snapshot_ts") - F.unix_micros(F.lit(EPOCH_DAY).cast("timestamp"))
-    ).cast("double") / F.lit(86400e6)
-    stats = stats.withColumn("day", day)
-    fits = days_to_limit(stats, [*cluster, "node_id", "namespace"], "day", "used", hwm, min_points)
+    stats = stats.withColumn("day", days("snapshot_ts"))
+    entity = [*cluster, "node_id", "namespace"]
+    state = state_of(tables, metric)
+    if state is None:
+        fits = days_to_limit(stats, entity, "day", "used", hwm, min_points)
+    else:
+        fits = days_to_limit_after(stats, entity, "snapshot_ts", "day", "used", hwm, state, min_points)
     out = fits.groupBy(*cluster).agg(
         F.max("n_points").alias("n_points"),
         F.min("days_left").alias("days_left"),

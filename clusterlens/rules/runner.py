@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable, Mapping, Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from clusterlens.operators.aggregates import CHUNK_CHARS, text_chunks
 from clusterlens.operators.picks import union_results
 from clusterlens.rules.core import ENTITY_RULE_TABLES, RULE_ORDER, entities
 from clusterlens.rules.registry import REGISTRY, Rule, Tables
+from clusterlens.sources.store import staged
+
+log = logging.getLogger(__name__)
 
 #: Tables whose rows make a cluster known; metadata and features say nothing about rules.
 COVERED = [
@@ -101,6 +106,18 @@ def _error_text(e: Exception) -> str:
     return f"Error: {e}"
 
 
+def _run_alone(df: DataFrame, rule_id: str) -> DataFrame:
+    """The verdicts of a plug-in, made by a job of its own, whose failure is this rule's alone.
+
+    Its message begins with what Spark calls the error; the stack of the job stays in the log.
+    """
+    try:
+        return staged(df, "rule")
+    except PySparkException as e:
+        log.warning("rule %s failed: %s", rule_id, e)
+        raise RuntimeError(e.getCondition() or str(e).strip().splitlines()[0]) from e
+
+
 def _available(rule: Rule, tables: Tables) -> bool:
     needed = ENTITY_RULE_TABLES.get(rule.id, [rule.table])
     return all(t in tables for t in needed)
@@ -135,7 +152,8 @@ def _verdicts(
             for c, t in [("remediation", "string"), ("evidence", "map<string,double>")]:
                 if c not in df.columns:
                     df = df.withColumn(c, F.lit(None).cast(t))
-            frames.append(df.withColumn("id", F.lit(r.id)).select(*cols))
+            df = df.withColumn("id", F.lit(r.id)).select(*cols)
+            frames.append(_run_alone(df, r.id) if r.tier == "plugin" else df)
         except Exception as e:  # one rule must not stop the others
             errors[r.id] = _error_text(e)
 
@@ -223,6 +241,8 @@ def run_all(
 ) -> DataFrame:
     """All listed rules and all plug-ins over all keys, in one job.
 
+    Each plug-in is a job of its own, run while the plan is made; if it fails, its rule is CRITICAL for
+    every key and the others are as they would be without it.
     ``tables`` maps table names to DataFrames; an absent table is missing for every cluster. With
     a ``coverage`` table (the ingest writes one) no rule scans more than the rows it needs.
     """

@@ -60,3 +60,27 @@ RESULT_SCHEMA = _table(
 )
 
 FINDING_SCHEMA = _table(id=_S, entity=_S, detail=_S, score=_D)
+
+#: All findings of a rule as text, in numbered chunks.
+TEXT_SCHEMA = _table(id=_S, chunk=_L, n=_L, text=_S)
+
+#: What later runs need of a series of readings: one row per entity and metric. ``last_rate`` is the
+#: growth per second that led to the last reading; the moments are those of a straight line, days over
+#: readings: number, means, and sums of squares and products around the means.
+SERIES = T.StructType(
+    [
+        T.StructField("run_id", _S),
+        T.StructField("cluster_id", _S),
+        T.StructField("node_id", _S),
+        T.StructField("namespace", _S),
+        T.StructField("metric", _S),
+        T.StructField("last_ts", T.TimestampType()),
+        T.StructField("last_value", _D),
+        T.StructField("last_rate", _D),
+        T.StructField("n", _L),
+        T.StructField("mean_x", _D),
+        T.StructField("mean_y", _D),
+        T.StructField("sxx", _D),
+        T.StructField("sxy", _D),
+    ]
+)

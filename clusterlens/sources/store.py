@@ -1,8 +1,16 @@
-"""Parquet tables of runs, and staging in the cluster's shared folder."""
+"""Parquet tables of runs, and staging in the cluster's shared folder.
+
+A store is a folder with one folder per table and a table of commits. Every writing puts its rows under
+an attempt of its own, ``<table>/attempt=<attempt>``; what a run consists of is said by its last commit, one
+small row that maps tables to attempts and is written when all of them are complete. Readers open
+the attempts that commits name and nothing else, so a run is seen whole or as it was before, whatever fails on
+the way, and a writing that was given up is never seen.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Mapping, Sequence
 
@@ -27,11 +35,13 @@ _SCHEMAS = {
     "static_configs": S.STATIC_CONFIGS,
     "coverage": S.COVERAGE,
     "metric_names": S.METRIC_NAMES,
+    "series": S.SERIES,
+    "results": S.RESULT_SCHEMA,
+    "catalog_results": S.RESULT_SCHEMA,
+    "findings": S.FINDING_SCHEMA,
+    "finding_texts": S.TEXT_SCHEMA,
 }
 
-# Characters that Spark escapes in the folder name of a partition value.
-ESCAPED = frozenset("\"#%'*/:=?\\{[]^\x7f") | {chr(i) for i in range(1, 32)}
-
 _LOCAL_FOLDERS: dict[str, str] = {}
 
 
@@ -62,46 +72,91 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def run_path(path: str, table: str, run_id: str) -> str:
-    """Folder of a run, named as Spark names partitions, so that reading gives the same id."""
-    name = "".join(f"%{ord(c):02X}" if c in ESCAPED else c for c in run_id)
-    return f"{path.rstrip('/')}/{table}/run_id={name}"
-
-
 #: Tables that are not made by plug-ins.
 TABLE_NAMES = tuple(_SCHEMAS)
 
+#: One row per commit: the attempts that a run's tables consist of from then on.
+COMMITS = T.StructType(
+    [
+        T.StructField("run_id", T.StringType()),
+        T.StructField("seq", T.LongType()),
+        T.StructField("attempts", T.MapType(T.StringType(), T.StringType())),
+    ]
+)
+
+
+def new_attempt() -> str:
+    return f"a-{uuid.uuid4().hex}"
 
-def write_table(df: DataFrame, path: str, table: str, run_id: str) -> None:
-    """Rows of one run; a re-run replaces that run, also when it has no rows any more."""
-    rows = df.filter(F.col("run_id") == run_id).drop("run_id")
+
+def attempt_path(path: str, table: str, attempt: str) -> str:
+    return f"{path.rstrip('/')}/{table}/attempt={attempt}"
+
+
+def write_attempt(
+    df: DataFrame, path: str, table: str, run_id: str, attempt: str, fmt: str = "parquet"
+) -> None:
+    """Rows of one run, not yet part of it."""
+    rows = df.filter(F.col("run_id") == run_id)
     order = CLUSTER_BY.get(table)
     if order:
         rows = rows.sortWithinPartitions(*order)
-    rows.write.mode("overwrite").parquet(run_path(path, table, run_id))
+    rows.write.format(fmt).save(attempt_path(path, table, attempt))
 
 
-def write_tables(tables: Mapping[str, DataFrame], path: str, run_id: str) -> None:
-    """All tables of a run."""
-    for table, df in tables.items():
-        write_table(df, path, table, run_id)
+def read_attempt(
+    spark: SparkSession,
+    path: str,
+    table: str,
+    attempts: Sequence[str],
+    fmt: str = "parquet",
+    beside: Sequence[str] = (),
+) -> DataFrame:
+    """Rows of some attempts. The columns of a plug-in's table come from their files and those ``beside``."""
+    paths = [attempt_path(path, table, a) for a in attempts]
+    schema = _SCHEMAS.get(table)
+    if schema is None:
+        every = [attempt_path(path, table, a) for a in dict.fromkeys([*attempts, *beside])]
+        schema = spark.read.option("mergeSchema", "true").format(fmt).load(every).schema
+    return spark.read.schema(schema).format(fmt).load(paths)
+
+
+def _commits(spark: SparkSession, path: str) -> DataFrame:
+    """All commits; a store without any is empty."""
+    try:
+        return spark.read.schema(COMMITS).json(f"{path.rstrip('/')}/commits")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], COMMITS)
+
+
+def committed(spark: SparkSession, path: str) -> dict[str, dict[str, str]]:
+    """Tables and their attempts of each run, in the order in which runs were first committed."""
+    rows = _commits(spark, path).groupBy("run_id").agg(
+        F.min("seq").alias("first"), F.max_by("attempts", F.struct("seq", F.to_json("attempts"))).alias("attempts")
+    )
+    return {r["run_id"]: r["attempts"] for r in sorted(rows.collect(), key=lambda r: r["first"])}  # one row per run
 
 
-def _stored_schema(spark: SparkSession, path: str) -> T.StructType:
-    """Schema of a plug-in's table, from its files; the run is a text whatever it looks like."""
-    found = spark.read.option("mergeSchema", "true").parquet(path).schema
-    return T.StructType(
-        [T.StructField("run_id", T.StringType()), *[f for f in found if f.name != "run_id"]]
-    )
+def commit(
+    spark: SparkSession, path: str, run_id: str, attempts: Mapping[str, str], replace: bool = False
+) -> None:
+    """Make attempts the run's tables, beside those it has or instead of them. This is one file."""
+    known = {} if replace else committed(spark, path).get(run_id, {})
+    last = _commits(spark, path).agg(F.max("seq")).first()[0] or 0
+    row = [(run_id, max(last + 1, time.time_ns()), {**known, **attempts})]
+    spark.createDataFrame(row, COMMITS).coalesce(1).write.mode("append").json(f"{path.rstrip('/')}/commits")
 
 
-def _read(
-    spark: SparkSession, path: str, schema: T.StructType | None, fmt: str = "parquet"
-) -> DataFrame:
-    """All runs under a path, with the run as a partition column in its place in the schema."""
-    schema = schema or _stored_schema(spark, path)
-    df = spark.read.schema(schema).option("basePath", path).format(fmt).load(path)
-    return df.select(*schema.names)
+def write_tables(tables: Mapping[str, DataFrame], path: str, run_id: str) -> None:
+    """Tables of a run in one commit; a re-run replaces them, also when they have no rows any more."""
+    attempt = new_attempt()
+    for table, df in tables.items():
+        write_attempt(df, path, table, run_id, attempt)
+    for df in tables.values():
+        commit(df.sparkSession, path, run_id, dict.fromkeys(tables, attempt))
+        break
 
 
 def read_parquet_tables(
@@ -110,21 +165,20 @@ def read_parquet_tables(
     run_ids: Sequence[str] | None = None,
     names: Sequence[str] | None = None,
 ) -> dict[str, DataFrame]:
-    """Stored tables of all runs, or of some: the run is a partition, so others are not read.
+    """Stored tables of all committed runs, or of some; files of others are not even listed.
 
-    ``names`` may hold tables of plug-ins; their schemas come from the files.
+    ``names`` may hold tables of plug-ins. A table that no run has ever stored is left out; one that only other
+    runs have is there without rows.
     """
+    runs = committed(spark, path)
     tables: dict[str, DataFrame] = {}
     for name in names or _SCHEMAS:
-        try:
-            df = _read(spark, f"{path.rstrip('/')}/{name}", _SCHEMAS.get(name))
-        except AnalysisException as e:
-            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
+        attempts = {run: a[name] for run, a in runs.items() if name in a}
+        if not attempts:
             continue
-        if run_ids is not None:
-            df = df.filter(F.col("run_id").isin(list(run_ids)))
-        tables[name] = df
+        wanted = [a for run, a in attempts.items() if run_ids is None or run in run_ids]
+        df = read_attempt(spark, path, name, wanted or list(attempts.values()), beside=list(attempts.values()))
+        tables[name] = df if wanted else df.limit(0)
     return tables
 
 
@@ -132,9 +186,14 @@ def write_findings(
     results: DataFrame, path: str, run_id: str, fmt: str = "parquet", table: str = "results"
 ) -> None:
     """Results of one run as Parquet or JSON; a re-run replaces them."""
-    rows = results.filter(F.col("run_id") == run_id).drop("run_id")
-    rows.write.mode("overwrite").format(fmt).save(run_path(path, table, run_id))
+    attempt = new_attempt()
+    write_attempt(results, path, table, run_id, attempt, fmt)
+    commit(results.sparkSession, path, run_id, {table: attempt})
 
 
 def read_results(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return _read(spark, f"{path.rstrip('/')}/results", S.RESULT_SCHEMA, fmt)
+    """Results of all committed runs."""
+    attempts = [a["results"] for a in committed(spark, path).values() if "results" in a]
+    if not attempts:
+        return spark.createDataFrame([], S.RESULT_SCHEMA)
+    return read_attempt(spark, path, "results", attempts, fmt)
