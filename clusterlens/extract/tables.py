@@ -9,7 +9,6 @@ from clusterlens import schema as S
 from clusterlens.extract.registry import extractor
 from clusterlens.functions import is_plain_number, lenient_bigint
 from clusterlens.functions.variants import (
-    MAX_DEPTH,
     as_map,
     child,
     entries,
@@ -31,15 +30,16 @@ def payload() -> Column:
 
 
 def flatten_payload(
-    nodes: DataFrame, max_depth: int = MAX_DEPTH, upper_levels: int = 3
+    nodes: DataFrame, max_depth: int | None = None, upper_levels: int = 3
 ) -> DataFrame:
-    """All leaves of the payload with dotted names; nulls are dropped.
+    """All leaves of the payload with dotted names, however deep; nulls are dropped.
 
     The upper levels become rows first, the trees below them are opened in one expression each.
     """
-    levels = min(upper_levels, max_depth)
+    levels = upper_levels if max_depth is None else min(upper_levels, max_depth)
+    rest = None if max_depth is None else max_depth - levels
     rows = open_levels(nodes.select(*S.KEYS, "node_id", "payload"), "payload", levels)
-    leaf = F.inline(flatten(F.col("held"), max_depth - levels, prefix=F.col("path")))
+    leaf = F.inline(flatten(F.col("held"), rest, prefix=F.col("path")))
     return (
         rows.select(*S.KEYS, "node_id", leaf.alias("metric", "text", "value_type", "n_children"))
         .filter(F.col("text").isNotNull())

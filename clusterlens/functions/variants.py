@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from clusterlens.functions.scalars import variant_path
 
-#: Deepest nesting that is opened; whatever is nested deeper is kept as JSON text.
-MAX_DEPTH = 12
+#: Levels that are opened by nested expressions; a loop opens what is nested deeper.
+UNROLLED = 12
+
+_ROW = "struct<path:string,value:string,value_type:string,n_children:int>"
 
 
 def as_map(v: Column) -> Column:
@@ -69,7 +71,7 @@ def is_true(v: Column, *keys: str) -> Column:
 
 def flatten(
     v: Column,
-    max_depth: int = MAX_DEPTH,
+    max_depth: int | None = None,
     skip: Callable[[Column], Column] | None = None,
     inner: bool = False,
     prefix: Column | None = None,
@@ -78,9 +80,13 @@ def flatten(
 
     Paths are dotted. Empty objects vanish, arrays are leaves, and a text that happens to hold JSON
     stays a text. The whole tree is opened in one expression, so a table of payloads is read once
-    whatever its depth. ``skip`` drops members of the top level by key; ``inner`` adds a row for
-    every object as well. With the ``prefix`` of its own path, a value that is no object is a leaf.
+    whatever its depth: ``UNROLLED`` levels by nested expressions, and objects below them level by level in a
+    loop. With a ``max_depth``, objects below that stay JSON text. ``skip`` drops members of the top level by key;
+    ``inner`` adds a row for every object as well. With the ``prefix`` of its own path, a value that is no object is
+    a leaf.
     """
+    limited = max_depth is not None
+    levels = max_depth if limited else UNROLLED
 
     def row(path: Column, value: Column, sub: Column | None) -> Column:
         kind = F.schema_of_variant(value)
@@ -95,15 +101,48 @@ def flatten(
             n.alias("n_children"),
         )
 
+    def deep(path: Column, value: Column) -> Column:
+        """Everything below an object of any depth."""
+
+        def open_all(held: Column, _: Column) -> Column:
+            def below(o: Column) -> Column:
+                def member(e: Column) -> Column:
+                    name = F.concat(o.getField("path"), F.lit("."), e.getField("key"))
+                    return F.struct(name.alias("path"), e.getField("value").alias("value"))
+
+                return F.transform(F.map_entries(as_map(o.getField("value"))), member)
+
+            def one(m: Column) -> Column:
+                value = m.getField("value")
+                return row(m.getField("path"), value, as_map(value) if inner else None)
+
+            def is_object(m: Column) -> Column:
+                return as_map(m.getField("value")).isNotNull()
+
+            found = F.flatten(F.transform(held.getField("open"), below))
+            shown = found if inner else F.filter(found, lambda m: ~is_object(m))
+            return F.struct(
+                F.concat(held.getField("done"), F.transform(shown, one)).alias("done"),
+                F.filter(found, is_object).alias("open"),
+            )
+
+        start = F.struct(
+            F.array().cast(f"array<{_ROW}>").alias("done"),
+            F.array(F.struct(path.alias("path"), value.alias("value"))).alias("open"),
+        )
+        # an object has no more levels than braces
+        braces = F.length(F.regexp_replace(text(value), "[^{]", ""))
+        return F.aggregate(F.sequence(F.lit(1), braces), start, open_all, lambda held: held.getField("done"))
+
     def leaves(sub: Column, prefix: Column | None, depth: int) -> Column:
         def one(e: Column) -> Column:
             key, value = e.getField("key"), e.getField("value")
             path = key if prefix is None else F.concat(prefix, F.lit("."), key)
             leaf = F.array(row(path, value, None))
-            if depth <= 1:
+            if depth <= 1 and limited:
                 return leaf
             opened = as_map(value)
-            below = leaves(opened, path, depth - 1)
+            below = leaves(opened, path, depth - 1) if depth > 1 else deep(path, value)
             if inner:
                 below = F.concat(F.array(row(path, value, opened)), below)
             return F.when(opened.isNotNull(), below).otherwise(leaf)
@@ -114,11 +153,11 @@ def flatten(
         return F.flatten(F.transform(pairs, one))
 
     if prefix is None:
-        return leaves(as_map(v), None, max_depth)
+        return leaves(as_map(v), None, levels)
     whole = F.array(row(prefix, v, None))
-    if max_depth < 1:
+    if levels < 1:
         return whole
-    return F.when(as_map(v).isNotNull(), leaves(as_map(v), prefix, max_depth)).otherwise(whole)
+    return F.when(as_map(v).isNotNull(), leaves(as_map(v), prefix, levels)).otherwise(whole)
 
 
 def open_levels(df: DataFrame, col: str, levels: int) -> DataFrame:

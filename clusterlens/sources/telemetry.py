@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clusterlens import schema as S
-from clusterlens.functions.variants import MAX_DEPTH, flatten
+from clusterlens.functions.variants import flatten
 
 # Spellings of a snapshot time beside the ISO ones, and the day that stands for a
 # time that cannot be read.
@@ -221,7 +221,7 @@ def latest_nodes(exploded: DataFrame, repeated: DataFrame | None = None) -> Data
     ).drop("last")
 
 
-def profile_structure(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def profile_structure(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Which paths, types and sizes occur under the payloads, and on how many nodes."""
     items = nodes.filter(F.col("node_id").isNotNull()).select(
         "cluster_id", "node_id", F.inline(flatten(F.col("payload"), max_depth, inner=True))

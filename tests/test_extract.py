@@ -1,3 +1,5 @@
+import json
+
 from clusterlens.extract import EXTRACTORS, extractor, run_extractors
 from clusterlens.extract import features, metadata, tables
 from clusterlens.sources import profile_structure
@@ -283,3 +285,36 @@ def test_profile_structure(spark):
         ("a.c", "ARRAY<BIGINT>", 0, 1),
         ("e", "OBJECT", 0, 1),
     ]
+
+
+def nested(depth):
+    """An object with a leaf, an empty object and two branches on every level."""
+    doc = {"end": 1}
+    for i in range(depth):
+        doc = {"d": doc, f"leaf{i}": i, "void": {}, "list": [{"x": i}], "null": None, "o": {"t": "{}"}}
+    return doc
+
+
+def recursion(doc, prefix=""):
+    out = {}
+    for key, value in doc.items():
+        name = f"{prefix}.{key}" if prefix else key
+        out.update(recursion(value, name) if isinstance(value, dict) else {name: value})
+    return out
+
+
+def test_any_depth_equals_recursion(spark):
+    for depth in (11, 12, 13, 16, 40, 150):
+        doc = nested(depth)
+        nodes = nodes_of(spark, {"n": {"as_stat": {"config": doc}}, "flat": {"as_stat": {"config": {"a": 1}}}})
+        want = recursion(doc)
+        stats = tables.flatten_payload(nodes).filter("node_id = 'n'")
+        got = {r.metric.removeprefix("as_stat.config."): r.value for r in stats.collect()}
+        assert got == {k: json.dumps(v, separators=(",", ":")) if isinstance(v, list) else str(v)
+                       for k, v in want.items() if v is not None}
+        configs = tables.extract_configs(nodes).filter("node_id = 'n'")
+        assert {r.config_name for r in configs.collect()} == set(want)
+        shape = {r.path: (r.type, r.n_children) for r in profile_structure(nodes).collect()}
+        top = "as_stat.config" + ".d" * (depth - 1)
+        assert shape[top][0] == "OBJECT" and shape[top][1] == 6
+        assert shape[f"{top}.d.end"] == ("BIGINT", 0) and shape[f"{top}.void"][0] == "OBJECT"
