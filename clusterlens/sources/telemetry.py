@@ -89,17 +89,21 @@ def _members_at(text: str, at: int, read: Reader) -> tuple[dict | None, int]:
         at = _after_space(text, at + 1)
 
 
-def _node_at(text: str, at: int) -> tuple[str, int]:
-    """The text of the node that begins here, as it stands. NaN and the infinities, which are no
-    JSON, become texts of that name."""
+#: Where a node's text begins and ends, and whether it holds a number that JSON has no name for.
+Place = tuple[int, int, bool]
+
+
+def _node_at(text: str, at: int) -> tuple[Place, int]:
+    """The place of the node that begins here. Its value is read to find the end, and let go."""
     odd: list[str] = []
+    _, end = json.JSONDecoder(parse_constant=odd.append).raw_decode(text, at)
+    return (at, end, bool(odd)), end
 
-    def constant(name: str) -> str:
-        odd.append(name)
-        return name
 
-    value, end = json.JSONDecoder(parse_constant=constant).raw_decode(text, at)
-    return (json.dumps(value) if odd else text[at:end]), end
+def _node_text(text: str, place: Place) -> str:
+    """A node's text as it stands. NaN and the infinities become texts of that name."""
+    at, end, odd = place
+    return json.dumps(json.JSONDecoder(parse_constant=str).raw_decode(text, at)[0]) if odd else text[at:end]
 
 
 def _clusters_at(text: str, at: int) -> tuple[dict | None, int]:
@@ -107,7 +111,11 @@ def _clusters_at(text: str, at: int) -> tuple[dict | None, int]:
 
 
 def split_document(text: str | None) -> Iterator[tuple[str, str, str | None, str | None]]:
-    """(snapshot, cluster, node, node's text) of a document; a cluster without nodes has nulls."""
+    """(snapshot, cluster, node, node's text) of a document; a cluster without nodes has nulls.
+
+    The document is read once for the places of its nodes, so that the last of equal names is known, and each
+    node's text is made when it is asked for: beside the document, memory holds places and one node.
+    """
     start = _after_space(text or "", 0)
     snapshots, end = _members_at(text or "", start, _clusters_at)
     if snapshots is None:
@@ -116,38 +124,49 @@ def split_document(text: str | None) -> Iterator[tuple[str, str, str | None, str
         raise json.JSONDecodeError("text after the end of the object", text, end)
     for snapshot, clusters in snapshots.items():
         for cluster, nodes in (clusters or {}).items():
-            for node, body in (nodes or {None: None}).items():
-                yield snapshot, cluster, node, body
+            for node, place in (nodes or {None: None}).items():
+                yield snapshot, cluster, node, place and _node_text(text, place)
+
+
+def _rows(text: str | None, error: str | None) -> Iterator[tuple]:
+    """(error, snapshot, cluster, node, node's text) of a document. An error is found before the first
+    node is given out, so a document that cannot be read has no nodes."""
+    if error is None:
+        try:
+            nodes = split_document(text)
+            first = next(nodes, None)
+            if first is not None:
+                yield (None, *first)
+                yield from ((None, *row) for row in nodes)
+            return
+        except json.JSONDecodeError as e:
+            error = f"not JSON: {e}"
+        except (ValueError, RecursionError) as e:
+            error = str(e)
+    yield (error, None, None, None, None)
 
 
 def _split_documents(documents: DataFrame) -> DataFrame:
     """One row per node with its own text, so that no value but the document's text is as large as a
     document. Python's reader is used because it gives the text between two places unchanged."""
 
+    def batch_of(bundle: str, member: str, part: list[tuple]) -> pa.RecordBatch:
+        columns = [[bundle] * len(part), [member] * len(part), *zip(*part, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=NODE_COLUMNS)
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc in zip(*[batch.column(c) for c in DOCUMENT_COLUMNS], strict=True):
                 bundle, member, text, error = (v.as_py() for v in doc)
-                rows: list[tuple] = []
-                if error is None:
-                    try:
-                        rows = [(None, *row) for row in split_document(text)]
-                    except json.JSONDecodeError as e:
-                        error = f"not JSON: {e}"
-                    except (ValueError, RecursionError) as e:
-                        error = str(e)
-                if error is not None:
-                    rows = [(error, None, None, None, None)]
-                while rows:
-                    n = size = 0
-                    while n < len(rows) and (n == 0 or size < BATCH_CHARS):
-                        size += len(rows[n][-1] or "")
-                        n += 1
-                    part, rows = rows[:n], rows[n:]
-                    columns = [[bundle] * n, [member] * n, *zip(*part, strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, pa.string()) for c in columns], names=NODE_COLUMNS
-                    )
+                part, size = [], 0
+                for row in _rows(text, error):
+                    part.append(row)
+                    size += len(row[-1] or "")
+                    if size >= BATCH_CHARS:
+                        yield batch_of(bundle, member, part)
+                        part, size = [], 0
+                if part:
+                    yield batch_of(bundle, member, part)
 
     return documents.select(*DOCUMENT_COLUMNS).mapInArrow(
         split, ", ".join(f"{c} string" for c in NODE_COLUMNS)

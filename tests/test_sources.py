@@ -388,3 +388,46 @@ def test_plug_ins_and_meant_settings_beside_a_stored_coverage(spark, tmp_path):
     finally:
         EXTRACTORS.pop("my_table", None)
         REGISTRY.pop("9.t", None)
+
+
+LARGE = """
+import json, resource, sys
+sys.path.insert(0, {root!r})
+from clusterlens.sources.telemetry import split_document
+
+node = '{{"as_stat": {{"x": [' + ", ".join(['"' + "v" * 1000 + '"'] * 400) + ']}}}}'
+nodes = ", ".join(f'"n{{i}}": {{node}}' for i in range(800))
+text = '{{"2024-01-01 00:00:00": {{"c": {{' + nodes + '}}}}}}'
+del nodes
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n = size = 0
+for row in split_document(text):
+    n += 1
+    size += len(row[-1])
+after = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+print(json.dumps([len(text), n, size, 1024 * (after - before)]))
+"""
+
+
+def test_nodes_of_a_large_document_are_never_held_together():
+    """320 MB: beside the text, the worker's memory grows by the size of some nodes."""
+    import subprocess
+    import sys
+
+    from conftest import ROOT
+
+    done = subprocess.run([sys.executable, "-c", LARGE.format(root=ROOT)], capture_output=True, text=True, check=True)
+    length, n, size, grown = json.loads(done.stdout)
+    assert length > 300e6 and n == 800 and size > 0.99 * length
+    assert grown < 40e6
+
+
+def test_last_of_equal_names_and_odd_numbers(spark):
+    doc = (
+        '{"2024-01-01 00:00:00": {"c": {"old": {"v": 1}}}, "2024-01-02 00:00:00": {"c": {"n": {"v": 2}}, '
+        '"c": {"n": {"v": 3}, "m": {"v": NaN}, "n": {"v": 4}}}, "2024-01-01 00:00:00": {"c": {"new": {"v": 5}}, "d": {}}}'
+    )
+    out = explode_snapshots(docs_frame(spark, [doc]), "r").select("cluster_id", "node_id", F.to_json("payload").alias("p"))
+    assert rows(out, "cluster_id", "node_id", "p") == [
+        ("c", "m", '{"v":"NaN"}'), ("c", "n", '{"v":4}'), ("c", "new", '{"v":5}'), ("d", None, None)
+    ]
