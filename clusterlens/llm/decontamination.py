@@ -1,14 +1,15 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
-The words of the benchmark items are hashed and sent to the tasks. Each slice of training documents
-is a shard: its words are hashed without leaving Arrow's buffers, and the suffixes that begin with
-the hash of a test window form the shard's suffix array, sorted by their words to the depth of a
-window (no other suffix can hold a match that counts). Every test suffix is binary-searched in it,
-which gives all places of its window; hits that follow each other on one diagonal are one longest
-verbatim match. Words are compared by two independent 64-bit hashes.
+Each slice of training documents is a shard. All of its words are ranked by their hashes, without leaving
+Arrow's buffers, and all of its suffixes are sorted by prefix doubling: to one word, two, four, and so on up to the
+depth of a window, documents' ends included. Every test suffix is binary-searched at every depth among the
+sorted suffixes of the shard, and those that occur nowhere to that depth need no deeper search; when none is left, the
+shard is sorted no further. What is left at the depth of a window is an interval of the suffix array: all places
+of the window. Windows that follow each other on one diagonal are one longest verbatim match. Matches are verified
+by a second, independent 64-bit hash of each word.
 
-The benchmark is read in blocks of ``block_words`` words, which bounds what a task holds. Further
-blocks are further passes over the written rows of the pass before.
+The words of the benchmark go to the tasks, in blocks of ``block_words`` words of ``WORD_BYTES`` bytes each, which
+bounds what a task holds. Further blocks are further passes over the written rows of the pass before.
 
 Defined results: words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z is lower-cased.
 Null and empty texts have no words; an item without words matches nothing; an item of fewer words
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 from clusterlens.llm.common import UPPER, Words, read, staged, text_slices
 
 WINDOW = 10
-#: Words of the benchmark that a task holds at a time: 16 bytes each.
-BLOCK_WORDS = 10_000_000
+#: Words of the benchmark that a task holds at a time, and the bytes of each: two hashes, its item, its place,
+#: and where a window begins.
+BLOCK_WORDS, WORD_BYTES = 4_000_000, 36
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[0x30:0x3A] = IS_WORD[0x41:0x5B] = IS_WORD[0x61:0x7B] = IS_WORD[0x80:] = True
@@ -38,64 +40,109 @@ IS_WORD[0x30:0x3A] = IS_WORD[0x41:0x5B] = IS_WORD[0x61:0x7B] = IS_WORD[0x80:] =
 SECOND_SEED = 2
 
 
-def _suffixes(w1: Words, w2: Words, at: np.ndarray, size: int) -> np.ndarray:
-    """The first words of suffixes as byte strings that sort like the words' hashes."""
-    cols = np.empty((len(at), 2 * size), ">u8")
-    for k in range(size):
-        cols[:, 2 * k] = w1.hash[at + k]
-        cols[:, 2 * k + 1] = w2.hash[at + k]
-    return cols.view(f"S{16 * size}").ravel()
-
-
 class Probe:
-    """Test suffixes of a block of items, by window size."""
+    """The words of a block of items, and the windows that are searched, by size."""
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
         raws = [(text or "").encode() for _, text in items]
         offs = np.concatenate([[0], np.cumsum([len(r) for r in raws])]).astype(np.int64)
         raw = np.frombuffer(b"".join(raws), np.uint8)
-        w1, w2 = Words(raw, offs, IS_WORD), Words(raw, offs, IS_WORD, SECOND_SEED)
+        words = Words(raw, offs, IS_WORD)
+        self.hash, self.second = words.hash, Words(raw, offs, IS_WORD, SECOND_SEED).hash
         self.item_id = np.array([i for i, _ in items], np.int64)
-        self.sizes: dict[int, tuple] = {}
-        for size in sorted({min(int(n), window) for n in w1.count if n}):
-            at, h = w1.windows(size)
-            own = np.minimum(w1.count, window)[w1.doc[at]] == size
-            at, h = at[own], h[own]
-            bits = np.zeros(1 << 20, bool)
-            bits[h >> np.uint64(44)] = True
-            keys = _suffixes(w1, w2, at, size)
-            item = w1.doc[at]
-            self.sizes[size] = (np.unique(h), bits, keys, item, at - w1.first[item])
+        self.item = words.doc.astype(np.int32)
+        self.at = (np.arange(len(words.doc)) - words.first[words.doc]).astype(np.int32)
+        self.sizes: dict[int, np.ndarray] = {}
+        size = np.minimum(words.count, window)[words.doc]
+        self.left = (words.count[words.doc] - self.at).astype(np.int32)  # words up to the end of the item
+        for n in np.unique(size):
+            self.sizes[int(n)] = np.flatnonzero((size == n) & (self.left >= n))
 
     def search(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, tuple]:
         """Words per document; longest matches as (document, item, item_at, at, n)."""
-        w1 = Words(raw, offs, IS_WORD)
-        w2 = None
-        found = []
-        for size, (hashes, bits, keys, item, item_at) in self.sizes.items():
-            at, h = w1.windows(size)
-            near = np.flatnonzero(bits[h >> np.uint64(44)])
-            at, h = at[near], h[near]
-            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            at = at[hashes[place] == h]
-            if not len(at):
+        words = Words(raw, offs, IS_WORD)
+        array, second, found = SuffixArray(words, self), None, []
+        for size, start in self.sizes.items():
+            hit, test = array.places(size, start)
+            if not len(hit):
                 continue
-            w2 = w2 or Words(raw, offs, IS_WORD, SECOND_SEED)
-            suffix = _suffixes(w1, w2, at, size)
-            array = np.argsort(suffix, kind="stable")
-            suffix, at = suffix[array], at[array]
-            low = np.searchsorted(suffix, keys, side="left")
-            high = np.searchsorted(suffix, keys, side="right")
-            n = high - low
-            test = np.repeat(np.arange(len(keys)), n)
-            hit = at[np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-            found.append(_longest(w1, size, hit, item[test], item_at[test]))
+            second = Words(raw, offs, IS_WORD, SECOND_SEED).hash if second is None else second
+            same = np.ones(len(hit), bool)
+            for k in range(size):
+                same &= second[hit + k] == self.second[test + k]
+            hit, test = hit[same], test[same]
+            found.append(_longest(words, size, hit, self.item[test].astype(np.int64), self.at[test].astype(np.int64)))
         if not found:
             empty = np.zeros(0, np.int64)
-            return w1.count, (empty, empty, empty, empty, empty)
+            return words.count, (empty, empty, empty, empty, empty)
         merged = [np.concatenate(x) for x in zip(*found, strict=True)]
         order = np.lexsort((merged[2], merged[1], merged[3], merged[0]))
-        return w1.count, tuple(x[order] for x in merged)
+        return words.count, tuple(x[order] for x in merged)
+
+
+class SuffixArray:
+    """The suffixes of a shard, sorted by prefix doubling as deep as test suffixes match.
+
+    A level has, for every suffix of the shard and of the test words, the rank of its first ``depth`` words
+    among those of the shard; -1 where the document ends before, and for test suffixes that do not occur.
+    """
+
+    def __init__(self, words: Words, probe: Probe):
+        names, rank = np.unique(words.hash, return_inverse=True)
+        self.levels = {1: (rank.astype(np.int64), _ranks_of(probe.hash, names))}
+        #: Words up to the end of the document, or of the test item.
+        self.left = words.first[words.doc + 1] - np.arange(len(words.doc)), probe.left
+
+    def _joined(self, depth: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """Level of ``depth + step`` words: two suffixes of ``depth`` words, the second ``step`` words on."""
+        shard, test = self.levels[depth]
+        wide = len(shard) + 1
+
+        def pairs(rank: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.flatnonzero((rank >= 0) & (left >= depth + step))
+            at = at[rank[at + step] >= 0]
+            return at, rank[at] * wide + rank[at + step]
+
+        at, key = pairs(shard, self.left[0])
+        names, rank = np.unique(key, return_inverse=True)
+        ranks = np.full(len(shard), -1, np.int64)
+        ranks[at] = rank
+        test_at, test_key = pairs(test, self.left[1])
+        tests = np.full(len(test), -1, np.int64)
+        tests[test_at] = _ranks_of(test_key, names)
+        return ranks, tests
+
+    def _level(self, depth: int) -> bool:
+        """Whether any test suffix matches to a power of two of words; sorts that deep if so."""
+        if depth not in self.levels:
+            if not self._level(depth // 2):
+                return False
+            self.levels[depth] = self._joined(depth // 2, depth // 2)
+        return bool((self.levels[depth][1] >= 0).any())
+
+    def places(self, size: int, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the shard of the test windows of a size that begin at ``start``, and the windows'."""
+        depth = 1 << (size.bit_length() - 1)
+        if not self._level(depth):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        shard, test = self.levels[depth] if size == depth else self._joined(depth, size - depth)
+        start = start[test[start] >= 0]
+        if not len(start):
+            return start, start
+        array = np.argsort(shard, kind="stable")
+        rank = shard[array]
+        low, high = np.searchsorted(rank, test[start], "left"), np.searchsorted(rank, test[start], "right")
+        n = high - low
+        hit = array[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        return hit, np.repeat(start, n)
+
+
+def _ranks_of(keys: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Places of the keys among sorted names by binary search, -1 for those that are not there."""
+    if not len(names):
+        return np.full(len(keys), -1, np.int64)
+    at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
+    return np.where(names[at] == keys, at, -1)
 
 
 def _longest(w: Words, size: int, hit: np.ndarray, item: np.ndarray, item_at: np.ndarray) -> tuple:
