@@ -1,22 +1,24 @@
 """Near duplicates among embeddings, found through randomised binary codes.
 
-A vector is normalised, rotated at random and kept as one sign per dimension, with the inner product
-of code and vector as its correction factor. Code times another vector, divided by that factor, is
-an unbiased estimate of their inner product, with a confidence bound of
-``EPSILON * sqrt((1 - f^2) / f^2 / (d - 1))``. Pairs whose interval stays below the threshold are left
-alone, provided that the angles between vector, code and the other vector rule a link out for
-certain too; so nothing is lost to chance. All others are computed again exactly, in doubles.
+A vector is normalised and rotated at random. Stored of it are one sign per dimension, packed, with the inner product
+of code and vector as its correction factor, and its components rounded to 8 bits. Code times the rounded
+components of another vector, divided by the factor, is an unbiased estimate of their inner product up to the
+rounding, with a confidence bound of ``EPSILON * sqrt((1 - f^2) / f^2 / (d - 1))``. Pairs whose interval, widened by
+the greatest error of the rounding, stays below the threshold are left alone, provided that the angles between vector,
+code and the other vector rule a link out for certain too; so nothing is lost to chance. Only for pairs that are
+undecided are the vectors themselves fetched, and their cosine computed exactly, in doubles.
 
 Which pairs meet: signs of further random projections give codes, one per band, with log2 n and
 ``MORE_BITS`` bits each, so chance meetings of a band stay in proportion to n. Vectors meet if one code
 agrees. The number of bands follows from the bits: there are as many as keep the probability that
-a pair at the threshold agrees in none of them at ``MISS`` or less, whatever n is (at 0.95, where a sign agrees
-with probability 0.899, 55 bands of 20 bits, 120 of 27), and ``BANDS`` at least; pairs above the threshold are
-missed less often. That is the recall. Where a low threshold needs more than ``MOST_BANDS``, codes get
-shorter instead, down to no bit, where all pairs meet. A linked pair is counted in the first band
-it agrees in. Buckets are cut into blocks of at most ``BLOCK`` vectors, and each pair of blocks is one
-group; small buckets share a group. So a bucket with a third of all vectors becomes many equal groups.
-No group emits pairs: it counts links, and returns a spanning forest of them. Equal vectors are one
+a pair at the threshold agrees in none of them at ``MISS`` or less, whatever n is (at 0.95, 60 bands of 20 bits),
+and ``BANDS`` at least; pairs above the threshold are missed less often. That is the recall. Where a low threshold
+needs more than ``MOST_BANDS``, codes get shorter instead, down to no bit, where all pairs meet. The projections are
+integers times the rounded components, so every task finds the same code for a vector without being sent it, and
+a pair is looked at in the first band it agrees in, only there. Buckets are cut into blocks of at most ``BLOCK``
+vectors, and each pair of blocks is one group; small buckets share a group. So a bucket with a third of all vectors
+becomes many equal groups. No group emits pairs: the first pass names the vectors that have an undecided pair in a
+group, the second counts links, and returns a spanning forest of them. Equal vectors are one
 vector with a number from the start.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with
@@ -43,8 +45,8 @@ EPSILON = 3.0
 #: Members of a block; a group holds two blocks at most.
 BLOCK = 2048
 BANDS, MORE_BITS = 40, 4
-#: Greatest probability that a pair at the threshold meets in no band.
-MISS = 0.001
+#: Greatest probability that a pair at the threshold meets in no band, and what rounding may add to its angle.
+MISS, ROUNDING = 0.001, 0.005
 MOST_BANDS = 1024
 SEED = 20
 
@@ -63,7 +65,7 @@ def _unit(rows: pa.Array, d: int) -> np.ndarray:
 
 def banding(n: int, threshold: float) -> tuple[int, int]:
     """Bits of a code and number of bands for n vectors, so that at most ``MISS`` of pairs are missed."""
-    agree = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    agree = max(0.0, 1 - (math.acos(max(-1.0, min(1.0, threshold))) + ROUNDING) / math.pi)
     bits = min(53, max(1, math.ceil(math.log2(n + 1)) + MORE_BITS))
     for b in range(bits, 0, -1):
         met = agree**b
@@ -73,89 +75,153 @@ def banding(n: int, threshold: float) -> tuple[int, int]:
     return 0, 1
 
 
-def _codes(d: int, bits: int, bands: int):
-    """One code per band: signs of random projections."""
-    planes = np.random.default_rng(SEED + 1).standard_normal((d, bands * bits))
-    powers = 1 << np.arange(bits, dtype=np.int64)
+class Bands:
+    """Codes of all bands from rounded vectors. Sums of integers are exact, so they are alike everywhere."""
+
+    def __init__(self, d: int, bits: int, bands: int):
+        self.bits, self.bands = bits, bands
+        planes = np.rint(32 * np.random.default_rng(SEED + 1).standard_normal((d, bands * bits)))
+        largest = 127 * np.abs(planes).sum(axis=0).max(initial=0)
+        self.planes = planes.astype(np.float32 if largest < 2**24 else np.float64)
+
+    def codes(self, q: np.ndarray) -> np.ndarray:
+        out = np.empty((len(q), self.bands), np.int64)
+        powers = 1 << np.arange(self.bits, dtype=np.int64)
+        for at in range(0, len(q), 512):
+            signs = q[at : at + 512].astype(self.planes.dtype) @ self.planes >= 0
+            out[at : at + 512] = (signs.reshape(-1, self.bands, self.bits) * powers).sum(axis=2)
+        return out
+
+
+CODED = "id long, copies long, bits binary, factor double, rounded binary, step double"
+
+
+def _encode(d: int):
+    """Sign bits, correction factor, and components in steps of 1 / 127 of the greatest."""
+    turn = rotation(d)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                signs = _unit(part.column("vector"), d) @ planes >= 0
-                codes = (signs.reshape(len(part), bands, bits) * powers).sum(axis=2)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(codes.ravel()), bands)
+                turned = _unit(part.column("vector"), d) @ turn
+                step = np.abs(turned).max(axis=1) / 127
+                q = np.rint(turned / step[:, None]).astype(np.int8)
+                factor = (np.where(q >= 0, 1.0, -1.0) * turned).sum(axis=1) / math.sqrt(d)
+                bits = np.packbits(q >= 0, axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), lists.cast(pa.list_(pa.int64()))], names=["id", "codes"]
+                    [
+                        part.column("id"),
+                        part.column("copies"),
+                        pa.array([b.tobytes() for b in bits], pa.binary()),
+                        pa.array(factor),
+                        pa.array([r.tobytes() for r in q], pa.binary()),
+                        pa.array(step),
+                    ],
+                    names=["id", "copies", "bits", "factor", "rounded", "step"],
                 )
 
     return run
 
 
-def _links(x: np.ndarray, y: np.ndarray, turn: np.ndarray, threshold: float, epsilon: float) -> np.ndarray:
-    """Boolean matrix of pairs with cosine at least the threshold."""
-    d = x.shape[1]
-    turned = x @ turn
-    code = np.where(turned >= 0, 1.0, -1.0) / math.sqrt(d)
-    factor = (code * turned).sum(axis=1)  # inner product of vector and code
-    met = code @ (y @ turn).T
-    spread = epsilon * np.sqrt(np.maximum(1 - factor**2, 0) / factor**2 / max(d - 1, 1))
-    maybe = met / factor[:, None] + spread[:, None] >= threshold
-    lost = np.sqrt(np.maximum(1 - factor**2, 0))[:, None] * np.sqrt(np.maximum(1 - met**2, 0))
-    maybe |= factor[:, None] * met + lost >= threshold - 1e-9
-    i, j = np.nonzero(maybe)
-    out = np.zeros(maybe.shape, bool)
-    for at in range(0, len(i), 200_000):
-        a, b = i[at : at + 200_000], j[at : at + 200_000]
-        out[a, b] = np.einsum("nd,nd->n", x[a], y[b]) >= threshold
-    return out
+def _band_codes(d: int, bits: int, bands: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = Bands(d, bits, bands)
+        for batch in batches:
+            codes = tool.codes(np.frombuffer(b"".join(batch.column("rounded").to_pylist()), np.int8).reshape(-1, d))
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(codes.ravel()), bands)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), lists.cast(pa.list_(pa.int64()))], names=["id", "codes"]
+            )
 
+    return run
 
-def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each linked place with the least place that its links reach inside the group."""
-    label = np.arange(n)
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        np.minimum.at(new, label[i], low)
-        np.minimum.at(new, label[j], low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    on = np.flatnonzero(label != np.arange(n))
-    return on, label[on]
 
+def undecided(
+    bits: np.ndarray, factor: np.ndarray, q: np.ndarray, step: np.ndarray, threshold: float, epsilon: float
+) -> np.ndarray:
+    """Pairs of codes (rows) and rounded vectors (columns) that may reach the threshold."""
+    d = q.shape[1]
+    sign = np.unpackbits(bits, axis=1, count=d).astype(np.float32) * 2 - 1
+    met = (sign @ q.T.astype(np.float32)) * (step / math.sqrt(d))  # sums of integers: exact
+    most = met + step * math.sqrt(d) / 2 + 1e-9  # each component is off by half a step at most
+    f, rest = factor[:, None], np.sqrt(np.maximum(1 - factor**2, 0))[:, None]
+    spread = epsilon * rest / f / math.sqrt(max(d - 1, 1))
+    maybe = most / f + spread >= threshold
+    angle = f * most + rest * np.sqrt(np.maximum(1 - np.minimum(most, 1) ** 2, 0))
+    return maybe | (most >= f) | (angle >= threshold - 1e-9)
 
-def _compare(d: int, bands: int, threshold: float, epsilon: float):
-    """Links inside one group: block ``a`` and block ``b`` of a cell."""
-    turn = rotation(d)
+
+class Group:
+    """The members of two blocks of a cell, and their undecided pairs."""
+
+    def __init__(self, table: pa.Table, d: int, bands: Bands, threshold: float, epsilon: float):
+        def binary(name: str, kind: type) -> np.ndarray:
+            return np.frombuffer(b"".join(table.column(name).to_pylist()), kind).reshape(table.num_rows, -1)
+
+        self.bits, self.q = binary("bits", np.uint8), binary("rounded", np.int8)
+        self.factor, self.step, self.band, self.bucket, side = (
+            table.column(c).to_numpy() for c in ("factor", "step", "band", "bucket", "side")
+        )
+        self.same = table.column("a")[0].as_py() == table.column("b")[0].as_py()
+        self.left = np.arange(table.num_rows) if self.same else np.flatnonzero(side == 0)
+        self.right = self.left if self.same else np.flatnonzero(side == 1)
+        self.bands, self.bound = bands, (threshold, epsilon)
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Undecided pairs of one bucket that agree in no earlier band."""
+        left, right = self.left, self.right
+        for at in range(0, len(left), 256):
+            rows = left[at : at + 256]
+            open_ = undecided(self.bits[rows], self.factor[rows], self.q[right], self.step[right], *self.bound)
+            if self.same:
+                open_ &= right[None, :] > rows[:, None]
+            open_ &= self.bucket[rows][:, None] == self.bucket[right][None, :]
+            i, j = np.nonzero(open_)
+            if not len(i):
+                continue
+            i, j = rows[i], right[j]
+            on, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+            codes = self.bands.codes(self.q[on])
+            first = np.empty(len(i), bool)
+            for k in range(0, len(i), 50_000):
+                a, b = place[k : min(k + 50_000, len(i))], place[len(i) + k : len(i) + k + 50_000]
+                first[k : k + 50_000] = (codes[a] == codes[b]).argmax(axis=1) == self.band[i[k : k + 50_000]]
+            if first.any():
+                yield i[first], j[first]
+
+
+MEMBER = f"cell long, a int, b int, side int, band int, bucket long, {CODED}"
+
+
+def _open_members(d: int, bits: int, bands: int, threshold: float, epsilon: float):
+    """Members of a group that have an undecided pair in it."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
-        copies = table.column("copies").to_numpy()
-        side = table.column("side").to_numpy()
-        band = table.column("band").to_numpy()
-        codes = table.column("codes").combine_chunks().flatten().to_numpy().reshape(-1, bands)
-        bucket = codes[np.arange(len(band)), band] * bands + band
+        group = Group(table, d, Bands(d, bits, bands), threshold, epsilon)
+        seen = np.zeros(table.num_rows, bool)
+        for i, j in group.pairs():
+            seen[i] = seen[j] = True
+        return table.filter(pa.array(seen))
+
+    return run
+
+
+def _compare(d: int, bits: int, bands: int, threshold: float, epsilon: float):
+    """Links inside one group, from the vectors of its undecided pairs."""
+
+    def run(table: pa.Table) -> pa.Table:
+        group = Group(table, d, Bands(d, bits, bands), threshold, epsilon)
+        ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
         x = _unit(table.column("vector").combine_chunks(), d)
-        same = table.column("a")[0].as_py() == table.column("b")[0].as_py()
-        left = np.arange(len(ids)) if same else np.flatnonzero(side == 0)
-        right = left if same else np.flatnonzero(side == 1)
         count = np.zeros(len(ids), np.int64)
         ii, jj = [], []
-        for at in range(0, len(left), 512):
-            rows = left[at : at + 512]
-            link = _links(x[rows], x[right], turn, threshold, epsilon)
-            if same:
-                link &= right[None, :] > rows[:, None]
-            link &= bucket[rows][:, None] == bucket[right][None, :]
-            i, j = np.nonzero(link)
-            i, j = rows[i], right[j]
-            first = (codes[i] == codes[j]).argmax(axis=1) == band[i]
-            i, j = i[first], j[first]
+        for i, j in group.pairs():
+            link = np.empty(len(i), bool)
+            for at in range(0, len(i), 100_000):
+                a, b = i[at : at + 100_000], j[at : at + 100_000]
+                link[at : at + 100_000] = np.einsum("nd,nd->n", x[a], x[b]) >= threshold
+            i, j = i[link], j[link]
             np.add.at(count, i, copies[j])
             np.add.at(count, j, copies[i])
             ii.append(i)
@@ -176,24 +242,42 @@ def _compare(d: int, bands: int, threshold: float, epsilon: float):
     return run
 
 
+def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each linked place with the least place that its links reach inside the group."""
+    label = np.arange(n)
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        np.minimum.at(new, label[i], low)
+        np.minimum.at(new, label[j], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    on = np.flatnonzero(label != np.arange(n))
+    return on, label[on]
+
+
 def _of_length(vectors: DataFrame, d: int, threshold: float, epsilon: float) -> DataFrame:
     """id, links, root parts of all groups of vectors of d components."""
     n = vectors.count()
     bits, bands = banding(n, threshold)
-    coded = staged(vectors.mapInArrow(_codes(d, bits, bands), "id long, codes array<long>"), "codes")
-    keys = coded.select("id", F.posexplode("codes").alias("band", "code"))
+    coded = staged(vectors.mapInArrow(_encode(d), CODED), "codes")
+    codes = coded.select("id", "rounded").mapInArrow(_band_codes(d, bits, bands), "id long, codes array<long>")
+    keys = staged(codes.select("id", F.posexplode("codes").alias("band", "code")), "band-codes")
     buckets = keys.groupBy("band", "code").agg(F.count("*").alias("held")).filter("held > 1")
     blocks = F.ceil(F.col("held") / F.lit(BLOCK)).cast("int")
     shared = max(1, n * bands // BLOCK)
     # small buckets share a group, a large one is a cell of its own
+    bucket = F.col("code") * bands + F.col("band")
     cell = F.when(F.col("held") <= BLOCK // 8, -1 - F.pmod(F.xxhash64("band", "code"), F.lit(shared)))
     cells = buckets.select(
-        "band", "code", blocks.alias("blocks"), F.coalesce(cell, F.col("code") * bands + F.col("band")).alias("cell")
+        "band", "code", blocks.alias("blocks"), bucket.alias("bucket"), F.coalesce(cell, bucket).alias("cell")
     )
-    met = keys.join(cells, ["band", "code"]).select("id", "band", "cell", "blocks")
-    facts = vectors.join(coded, "id")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = met.join(facts, "id").withColumn("block", block)
+    met = keys.join(cells, ["band", "code"]).select("id", "band", "bucket", "cell", "blocks")
+    dealt = met.join(coded, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # block x meets every block y of its cell in the group (least, greatest)
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     grouped = pairs.select(
@@ -201,14 +285,16 @@ def _of_length(vectors: DataFrame, d: int, threshold: float, epsilon: float) ->
         F.least("block", "other").alias("a"),
         F.greatest("block", "other").alias("b"),
         F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"),
-        "id",
-        "copies",
-        "vector",
-        "codes",
         "band",
+        "bucket",
+        *coded.columns,
     )
-    return grouped.groupBy("cell", "a", "b").applyInArrow(
-        _compare(d, bands, threshold, epsilon), "id long, links long, root long"
+    how = (d, bits, bands, threshold, epsilon)
+    members = staged(grouped.groupBy("cell", "a", "b").applyInArrow(_open_members(*how), MEMBER), "undecided")
+    return (
+        members.join(vectors.select("id", "vector"), "id")
+        .groupBy("cell", "a", "b")
+        .applyInArrow(_compare(*how), "id long, links long, root long")
     )
 
 
