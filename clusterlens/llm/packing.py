@@ -161,9 +161,10 @@ def improve(
 ) -> Counter[Pattern]:
     """Local search: the emptiest bins give to fuller ones until they are empty.
 
-    It ends when no bin fewer is possible, when no pattern with room has an exchange left, or after
-    ``effort`` looks at a pair of patterns. ``patience`` is the number of partners looked at for
-    each change. The packing is whole at every moment.
+    A pattern without an exchange is settled, until a new pattern has one with it. The search ends when no bin
+    fewer is possible, when no pattern with room has an exchange left, or after ``effort`` looks at a pair of
+    patterns. ``patience`` is the number of partners looked at for each change. The packing is whole at every
+    moment.
     """
     bins = Counter(bins)
     total = sum(_fill(p) * n for p, n in bins.items())
@@ -189,6 +190,12 @@ def improve(
                 for p in got:
                     if p:
                         bins[p] += n
+                for p in (p for p in got if p and _fill(p) < capacity):
+                    for s in [s for s in settled if s in bins]:
+                        effort -= 1
+                        if _exchange(*sorted((p, s), key=_fill, reverse=True), capacity):
+                            settled.discard(s)
+                settled.difference_update(got)
                 break
         else:
             settled.add(b)
