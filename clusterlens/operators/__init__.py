@@ -48,6 +48,11 @@ from clusterlens.operators.series import (
     days_to_limit_after,
     line_moments,
 )
+from clusterlens.operators.sketches import (
+    merged_sketches,
+    quantile_sketch,
+    sketched_quantile,
+)
 from clusterlens.operators.skew import (
     deviation_skew,
     mean_skew,
@@ -70,6 +75,7 @@ __all__ = [
     "first_per",
     "having",
     "join_text",
+    "quantile_sketch",
     "running_total",
     "text_chunks",
     "keep_found",
@@ -80,6 +86,7 @@ __all__ = [
     "like_any",
     "line_moments",
     "max_of",
+    "merged_sketches",
     "mean_skew",
     "metric_ilike",
     "metric_in",
@@ -87,6 +94,7 @@ __all__ = [
     "pick_rule",
     "share_monopoly",
     "share_of_total",
+    "sketched_quantile",
     "sort_findings",
     "status_counts",
     "sum_by",

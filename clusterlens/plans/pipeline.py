@@ -6,7 +6,7 @@ Each ends in one commit of its run (``sources.store``): readers see all of its t
 from __future__ import annotations
 
 import logging
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +15,7 @@ from clusterlens import schema as S
 from clusterlens.extract import EXTRACTORS, run_extractors
 from clusterlens.rules import coverage, run_all, series
 from clusterlens.rules.core import ENTITY_RULE_TABLES
+from clusterlens.rules.metrics import metric_sketches
 from clusterlens.rules.registry import REGISTRY
 from clusterlens.rules.runner import COVERED
 from clusterlens.sources import (
@@ -122,12 +123,13 @@ def analyze(
     out: str,
     run_id: str,
     catalog_params: Mapping[str, Mapping] | None = None,
+    sketch_metrics: Sequence[str] = (),
     **options,
 ) -> DataFrame:
     """All rules over the stored tables of a run, with the series that earlier runs have left.
 
-    Stored beside them in one commit: results, results of the catalogue, findings as rows and as text, and the
-    series for later runs. Runs are judged in the order of their snapshots; a run that is judged again leaves
+    Stored beside them in one commit: results, results of the catalogue, findings as rows and as text, the
+    series for later runs, and quantile sketches of the ``sketch_metrics``. Runs are judged in the order of their snapshots; a run that is judged again leaves
     those after it as they are, ``replay`` judges them again.
     """
     plugged = [*EXTRACTORS, *(r.table for r in REGISTRY.values())]
@@ -142,7 +144,11 @@ def analyze(
         write_attempt(df, out, table, run_id, attempt)
         return read_attempt(spark, out, table, [attempt])
 
-    made = {"results": store("results", run_all(tables, **options))}
+    made: dict[str, DataFrame] = {}
+    if sketch_metrics and "namespace_stats" in tables:
+        made["sketches"] = store("sketches", metric_sketches(tables, S.KEYS, sketch_metrics))
+        tables["sketches"] = made["sketches"]
+    made["results"] = store("results", run_all(tables, **options))
     made["catalog_results"] = store("catalog_results", rules.run_catalog(tables, params=catalog_params))
     chosen = [i for i, needed in ENTITY_RULE_TABLES.items() if all(t in tables for t in needed)]
     if chosen:
@@ -155,7 +161,7 @@ def analyze(
 
 
 #: Tables that ``analyze`` makes.
-JUDGED = ("results", "catalog_results", "findings", "finding_texts", "series")
+JUDGED = ("results", "catalog_results", "findings", "finding_texts", "series", "sketches")
 
 
 def replay(spark: SparkSession, out: str, run_id: str, **options) -> None:

@@ -18,6 +18,7 @@ from clusterlens.plans.queries_fleet import _FLEET_SOURCES, RULE_SQL, run_all_sq
 from clusterlens.plans.queries_operators import query
 from clusterlens.plans.queries_telemetry import DAY_SQL, day, documents
 from clusterlens.rules import series
+from clusterlens.rules.metrics import metric_sketches
 from clusterlens.rules.registry import REGISTRY, evidence, rule
 
 RUNS = ["r1", "r2", "r3"]
@@ -100,6 +101,29 @@ def c5a_over_runs(spark, d):
     )
 
 
+def _sketches_over_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Sketches of disk use, made run by run and merged over the runs of a cluster."""
+    out = None
+    for run in RUNS:
+        made = metric_sketches(_run_tables(spark, d, run), S.KEYS, ["data_used_pct"])
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+@query(
+    "c4e_over_runs",
+    """SELECT cluster_id, CASE WHEN quantile_disc(used_pct, 0.9) > 10 THEN 'WARNING' ELSE 'PASS' END AS status,
+              CAST(quantile_disc(used_pct, 0.9) AS DOUBLE) AS extreme
+       FROM lens_runs GROUP BY cluster_id""",
+)
+def c4e_over_runs(spark, d):
+    """Latency rule on merged sketches; with as many readings as a sketch holds, they are exact."""
+    sketches = sources.staged(_sketches_over_runs(spark, d), "sketches")
+    tables = {"namespace_stats": lens(spark, d, "lens_runs"), "sketches": sketches}
+    results = rules.run_rule(tables, "C-4e", C, metric="data_used_pct", max_latency=10.0, quantile=0.9)
+    return results.select(*C, "status", F.col("evidence")["extreme"].alias("extreme"))
+
+
 # --- plug-ins --------------------------------------------------------------------------------------
 
 

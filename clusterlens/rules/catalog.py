@@ -15,6 +15,7 @@ from clusterlens import schema as S
 from clusterlens.functions import dotted_part, last_part, lenient_double, msg
 from clusterlens.operators.filters import metric_in
 from clusterlens.operators.series import counter_rates, days_to_limit, days_to_limit_after
+from clusterlens.operators.sketches import merged_sketches, sketched_quantile
 from clusterlens.operators.skew import deviation_skew
 from clusterlens.rules.core import first_alias, node_errors, number
 from clusterlens.rules.metrics import namespace_metrics
@@ -406,11 +407,18 @@ def query_latency(
     accuracy: int = 10000,
     strict_names=False,
 ):
-    """Quantile of a latency metric over nodes and namespaces; metric and limit are the caller's."""
-    rows = namespace_metrics(tables, keys, x=metric).filter(F.col("x").isNotNull())
-    out = rows.groupBy(*keys).agg(
-        F.percentile_approx("x", F.lit(quantile), F.lit(accuracy)).alias("q")
-    )
+    """Quantile of a latency metric over nodes and namespaces; metric and limit are the caller's.
+
+    Where a table of ``sketches`` is given, its sketches of the metric answer and no statistic is read.
+    """
+    if "sketches" in tables:
+        stored = tables["sketches"].filter(F.col("metric") == metric)
+        out = sketched_quantile(merged_sketches(stored, keys), keys, quantile)
+    else:
+        rows = namespace_metrics(tables, keys, x=metric).filter(F.col("x").isNotNull())
+        out = rows.groupBy(*keys).agg(
+            F.percentile_approx("x", F.lit(quantile), F.lit(accuracy)).alias("q")
+        )
     return _judge(
         out,
         keys,

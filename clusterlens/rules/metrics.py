@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clusterlens.operators.filters import metric_in
+from clusterlens.operators.picks import union_results
+from clusterlens.operators.sketches import K, quantile_sketch
 from clusterlens.rules.core import first_alias, number
 from clusterlens.rules.registry import Tables
 
@@ -25,3 +27,12 @@ def namespace_metrics(tables: Tables, keys: Sequence[str], **metrics: str) -> Da
     return rows.groupBy(*keys, "node_id", "namespace").agg(
         *[first_alias(names, value, F.max).alias(alias) for alias, names in wanted.items()]
     )
+
+
+def metric_sketches(tables: Tables, keys: Sequence[str], metrics: Sequence[str], k: int = K) -> DataFrame:
+    """Quantile sketches of some statistics over the nodes and namespaces of each key."""
+    parts = []
+    for metric in metrics:
+        sketch = quantile_sketch(namespace_metrics(tables, keys, x=metric), keys, "x", k)
+        parts.append(sketch.select(*keys, F.lit(metric).alias("metric"), "sketch"))
+    return union_results(*parts)

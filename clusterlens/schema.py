@@ -84,3 +84,6 @@ SERIES = T.StructType(
         T.StructField("sxy", _D),
     ]
 )
+
+#: Quantile sketches of a statistic over the nodes and namespaces of a snapshot; they merge over runs.
+SKETCHES = _table(metric=_S, sketch=T.BinaryType())

@@ -36,6 +36,7 @@ _SCHEMAS = {
     "coverage": S.COVERAGE,
     "metric_names": S.METRIC_NAMES,
     "series": S.SERIES,
+    "sketches": S.SKETCHES,
     "results": S.RESULT_SCHEMA,
     "catalog_results": S.RESULT_SCHEMA,
     "findings": S.FINDING_SCHEMA,

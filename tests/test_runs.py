@@ -10,7 +10,15 @@ from pyspark.sql import functions as F
 from clusterlens import schema as S
 from clusterlens.extract import EXTRACTORS
 from clusterlens.extract.registry import extractor
-from clusterlens.operators import join_text, running_total, text_chunks, with_metadata
+from clusterlens.operators import (
+    join_text,
+    merged_sketches,
+    quantile_sketch,
+    running_total,
+    sketched_quantile,
+    text_chunks,
+    with_metadata,
+)
 from clusterlens.plans import pipeline
 from clusterlens.rules import REGISTRY, finding_texts, findings, rule, run_all, run_rule
 from clusterlens.rules import series as series_rules
@@ -272,3 +280,30 @@ def test_clusters_without_metadata_take_the_default(spark):
     meta = spark.createDataFrame([("a", "cloud_platform", "AWS"), ("b", "other", "z")], "cluster_id string, key string, value string")
     out = with_metadata(df, meta, "cloud_platform", keys=["cluster_id"], alias="platform")
     assert rows(out, "cluster_id", "platform") == [("a", "AWS"), ("b", "Unknown")]
+
+
+# --- sketches --------------------------------------------------------------------------------------
+
+
+def test_sketches_stay_within_their_bound(spark):
+    rows_ = [("c", float((i * 7919) % 100_003)) for i in range(100_003)]
+    df = spark.createDataFrame(rows_, "cluster_id string, x double").repartition(9)
+    parts = [df.filter(F.pmod(F.hash("x"), F.lit(3)) == i) for i in range(3)]  # three runs
+    made = [quantile_sketch(p, ["cluster_id"], "x", 256).collect() for p in parts]
+    stored = spark.createDataFrame([r for m in made for r in m], "cluster_id string, sketch binary")
+    assert max(len(r["sketch"]) for m in made for r in m) < 20_000  # 800 kB of values
+    whole = merged_sketches(stored, ["cluster_id"])
+    for q in (0.01, 0.5, 0.95, 0.99):
+        got = sketched_quantile(whole, ["cluster_id"], q).first()["q"]
+        assert abs(got / 100_003 - q) <= 2.3 / 256**0.9
+
+
+def test_latency_from_stored_sketches(spark, tmp_path):
+    out = str(tmp_path)
+    pipeline.ingest_documents(documents(spark, [0, 1], value=50.0), out, "r")
+    limits = {"C-4e": {"metric": "data_used_pct", "max_latency": 50.5, "quantile": 0.5}}
+    pipeline.analyze(spark, out, "r", catalog_params=limits, sketch_metrics=["data_used_pct"])
+    stored = read_parquet_tables(spark, out, names=["sketches", "catalog_results"])
+    assert stored["sketches"].count() == 2
+    got = stored["catalog_results"].filter("id = 'C-4e'").orderBy("snapshot_ts").collect()
+    assert [r.status for r in got] == ["PASS", "WARNING"] and got[1].evidence["extreme"] == 51.0
