@@ -7,6 +7,7 @@ from clusterlens.sources.bundles import (
     telemetry_documents,
 )
 from clusterlens.sources.store import (
+    drop_staged,
     read_parquet_tables,
     read_results,
     shared_folder,
@@ -27,6 +28,7 @@ from clusterlens.sources.telemetry import (
 __all__ = [
     "bundle_inventory",
     "decode_member",
+    "drop_staged",
     "explode_snapshots",
     "latest_nodes",
     "list_members",

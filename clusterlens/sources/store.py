@@ -68,11 +68,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     Unlike a cache it survives lost executors, and unlike recomputation it is paid once.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/staged/{name}-{uuid.uuid4().hex}"
+    path = f"{staging_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staging_folder(spark: SparkSession) -> str:
+    """Where this application stages its results."""
+    return f"{shared_folder(spark)}/staged/{spark.sparkContext.applicationId}"
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete what this application has staged; DataFrames that read it are of no use afterwards."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(staging_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 #: Tables that are not made by plug-ins.
 TABLE_NAMES = tuple(_SCHEMAS)
 

@@ -307,3 +307,15 @@ def test_latency_from_stored_sketches(spark, tmp_path):
     assert stored["sketches"].count() == 2
     got = stored["catalog_results"].filter("id = 'C-4e'").orderBy("snapshot_ts").collect()
     assert [r.status for r in got] == ["PASS", "WARNING"] and got[1].evidence["extreme"] == 51.0
+
+
+def test_staged_results_can_be_dropped(spark):
+    import os
+
+    from clusterlens.sources import drop_staged, staged
+    from clusterlens.sources.store import staging_folder
+
+    assert staged(spark.range(5), "five").count() == 5 and os.path.isdir(staging_folder(spark))
+    drop_staged(spark)
+    assert not os.path.exists(staging_folder(spark))
+    assert staged(spark.range(5), "five").count() == 5
