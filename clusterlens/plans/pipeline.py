@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from clusterlens import report, rules
 from clusterlens import schema as S
 from clusterlens.extract import EXTRACTORS, run_extractors
-from clusterlens.rules import coverage, run_all, series
+from clusterlens.rules import coverage, metric_names, run_all, series
 from clusterlens.rules.core import ENTITY_RULE_TABLES
 from clusterlens.rules.metrics import metric_sketches
 from clusterlens.rules.registry import REGISTRY
@@ -29,6 +29,7 @@ from clusterlens.sources import (
     telemetry_documents,
 )
 from clusterlens.sources.store import (
+    NAMED,
     TABLE_NAMES,
     attempt_path,
     commit,
@@ -92,6 +93,10 @@ def ingest_documents(
     # Rows per table and cluster, from key columns alone, let rules tell a missing table from a missing metric.
     stored = {t: read_attempt(spark, out, t, [a]) for t, a in attempts.items() if t in COVERED}
     write_attempt(coverage(stored), out, "coverage", run_id, attempt)
+    names = {t: stored[t] for t in NAMED if attempts.get(t) == attempt}
+    if names:
+        write_attempt(metric_names(names), out, "metric_names", run_id, attempt)
+        attempts["metric_names"] = attempt
     attempts["coverage"] = attempt
     commit(spark, out, run_id, attempts, replace=True)
 

@@ -128,6 +128,8 @@ ADVICE: dict[str, str] = {
     "and look for connections that are never closed.",
 }
 
+#: Names that a pattern may become; more are judged row by row.
+MOST_NAMES = 500
 #: Characters of names that a message spells out: the first chunk of ``runner.finding_texts``.
 NAMES_CHARS = CHUNK_CHARS
 DRIFT_NAMES_IN_MESSAGE = 3
@@ -150,9 +152,20 @@ def first_alias(metrics: Sequence[str], value: Column, agg=F.sum) -> Column:
     return F.coalesce(*[agg(F.when(F.col("metric") == m, value)) for m in metrics])
 
 
-def matching(patterns: Sequence[str]) -> Column:
-    """Condition on ``metric``: LIKE any of the patterns."""
-    return flt.like_any("metric", patterns)
+def matching(tables: Tables, table: str, patterns: Sequence[str]) -> Column:
+    """Condition on ``metric``: LIKE any of the patterns.
+
+    Where a dictionary of the table's names is given, the patterns are judged on it, and what is left is a list
+    of names, by which Parquet skips row groups. Stored dictionaries are those of the very files that are read.
+    """
+    like = flt.like_any("metric", patterns)
+    if "metric_names" not in tables:
+        return like
+    names = tables["metric_names"].filter(F.col("table_name") == table)
+    found = names.filter(like).select("metric").distinct().limit(MOST_NAMES + 1).collect()
+    if len(found) > MOST_NAMES or (not found and names.isEmpty()):
+        return like
+    return F.col("metric").isin([r["metric"] for r in found])
 
 
 # --- 1.a, 1.a2: error skew over nodes --------------------------------------------------------
@@ -317,7 +330,7 @@ def namespace_facts(
     value = number(ns_stats)
 
     def like(rule_id: str, patterns: Sequence[str]) -> Column:
-        return matching(patterns) if rule_id in ids else F.lit(False)
+        return matching(tables, "namespace_stats", patterns) if rule_id in ids else F.lit(False)
 
     busy = like("4.a", [_params(params, "4.a")["pattern"]])
     used = like("5.a", CAPACITY_PATTERNS)
@@ -479,7 +492,7 @@ def _entity_row(
 
 def version_entities(tables: Tables, keys: Sequence[str]) -> DataFrame:
     """1.c: nodes per version; a node's version is its first version metric by name."""
-    named = matching(VERSION_PATTERNS)
+    named = matching(tables, "node_stats", VERSION_PATTERNS)
     rows = tables["node_stats"].filter(named & F.col("value").isNotNull())
     per_node = rows.groupBy(*keys, "node_id").agg(
         F.min(F.struct("metric", "value")).getField("value").alias("version")

@@ -88,6 +88,9 @@ def drop_staged(spark: SparkSession) -> None:
 #: Tables that are not made by plug-ins.
 TABLE_NAMES = tuple(_SCHEMAS)
 
+#: Tables whose names of metrics are stored with them.
+NAMED = ("node_stats", "namespace_stats")
+
 #: One row per commit: the attempts that a run's tables consist of from then on.
 COMMITS = T.StructType(
     [
@@ -181,7 +184,8 @@ def read_parquet_tables(
     """Stored tables of all committed runs, or of some; files of others are not even listed.
 
     ``names`` may hold tables of plug-ins. A table that no run has ever stored is left out; one that only other
-    runs have is there without rows.
+    runs have is there without rows. The dictionary of metric names is given for a table if it was made with the
+    files that are read, in every run; a table that was stored again by itself has none.
     """
     runs = committed(spark, path)
     tables: dict[str, DataFrame] = {}
@@ -192,6 +196,10 @@ def read_parquet_tables(
         wanted = [a for run, a in attempts.items() if run_ids is None or run in run_ids]
         df = read_attempt(spark, path, name, wanted or list(attempts.values()), beside=list(attempts.values()))
         tables[name] = df if wanted else df.limit(0)
+    if "metric_names" in tables:
+        read = [a for run, a in runs.items() if run_ids is None or run in run_ids]
+        own = [t for t in NAMED if all(a.get("metric_names") == a[t] for a in read if t in a)]
+        tables["metric_names"] = tables["metric_names"].filter(F.col("table_name").isin(own))
     return tables
 
 

@@ -319,3 +319,46 @@ def test_staged_results_can_be_dropped(spark):
     drop_staged(spark)
     assert not os.path.exists(staging_folder(spark))
     assert staged(spark.range(5), "five").count() == 5
+
+
+# --- the dictionary of metric names -------------------------------------------------------------------
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_patterns_become_pushed_names(spark, tmp_path):
+    from clusterlens.rules.core import entities, matching, namespace_facts
+
+    out = str(tmp_path)
+    pipeline.ingest_documents(documents(spark, [0, 1]), out, "r")
+    tables = read_parquet_tables(spark, out, ["r"])
+    versions = physical(entities(tables, S.KEYS, ["1.c"]))
+    pushed = versions.split("PushedFilters: [")[1].split("]")[0]
+    assert "metric" in pushed and "as_stat.meta_data.asd_build" in pushed and "LIKE" not in versions.upper()
+    facts = physical(namespace_facts(tables, S.KEYS, ["4.a", "5.a"], None, False))
+    pushed = facts.split("PushedFilters: [")[1].split("ReadSchema")[0]
+    assert "LIKE" not in facts.upper()
+    assert "service.fail_key_busy" in pushed and "service.data_used_pct" in pushed
+    bare = {t: df for t, df in tables.items() if t != "metric_names"}
+    for rule_id in ("1.c", "4.a", "5.a"):
+        assert sorted(map(str, run_rule(tables, rule_id).collect())) == sorted(map(str, run_rule(bare, rule_id).collect()))
+    # names that nothing matches ask for no row; a table without a dictionary is judged row by row
+    assert tables["node_stats"].filter(matching(tables, "node_stats", ["%no such thing%"])).isEmpty()
+    assert "LIKE" in str(matching(tables, "other_table", ["%x%"])).upper()
+
+
+def test_a_stale_dictionary_is_not_used(spark, tmp_path):
+    out = str(tmp_path)
+    pipeline.ingest_documents(documents(spark, [0]), out, "r")
+    old = read_parquet_tables(spark, out, ["r"])
+    names = {r.table_name for r in old["metric_names"].select("table_name").distinct().collect()}
+    assert names == {"node_stats", "namespace_stats"}
+    more = [("r", T0, "c", "n9", "other.build", "E-1.0", "STRING")]
+    again = old["node_stats"].unionByName(spark.createDataFrame(more, S.TABLES["node_stats"]))
+    write_tables({"node_stats": spark.createDataFrame(again.collect(), S.TABLES["node_stats"])}, out, "r")
+    now = read_parquet_tables(spark, out, ["r"])
+    assert {r.table_name for r in now["metric_names"].select("table_name").distinct().collect()} == {"namespace_stats"}
+    (verdict,) = run_rule(now, "1.c").collect()
+    assert verdict.status == "WARNING" and "E-1.0 (1 nodes)" in verdict.message
