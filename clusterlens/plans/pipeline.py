@@ -134,8 +134,8 @@ def analyze(
     """All rules over the stored tables of a run, with the series that earlier runs have left.
 
     Stored beside them in one commit: results, results of the catalogue, findings as rows and as text, the
-    series for later runs, and quantile sketches of the ``sketch_metrics``. Runs are judged in the order of their snapshots; a run that is judged again leaves
-    those after it as they are, ``replay`` judges them again.
+    series for later runs, and quantile sketches of the ``sketch_metrics``. Runs are judged in the order of their
+    snapshots; a run that is judged again leaves those after it as they are, ``replay`` judges them again.
     """
     plugged = [*EXTRACTORS, *(r.table for r in REGISTRY.values())]
     names = list(dict.fromkeys([*TABLE_NAMES, *plugged]))

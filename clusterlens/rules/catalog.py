@@ -311,7 +311,8 @@ def hot_key_rate(tables, keys=S.KEYS, per_second: float = 100.0, strict_names=Fa
         "fail_key_busy",
         per_second,
         f"Namespaces with more than {per_second:g} key busy events per second",
-        "A few records take most of the writes. Find them in the logs of the worst node, then spread their updates over several keys or over time.",
+        "A few records take most of the writes. Find them in the logs of the worst node, then spread their "
+        "updates over several keys or over time.",
     )
 
 
@@ -323,7 +324,8 @@ def proxy_rate(tables, keys=S.KEYS, per_second: float = 1000.0, strict_names=Fal
         "client_proxy",
         per_second,
         f"Namespaces with more than {per_second:g} proxied requests per second",
-        "Requests take a second hop between nodes. Compare the node lists of the clients with the cluster and restart those that still use an old one.",
+        "Requests take a second hop between nodes. Compare the node lists of the clients with the cluster and "
+        "restart those that still use an old one.",
     )
 
 
@@ -358,13 +360,19 @@ def _ratio_rule(tables, keys, names, max_pct, what, advice) -> DataFrame:
 
 @_catalog("C-4b", "Read Miss Ratio", "namespace_stats")
 def read_miss_ratio(tables, keys=S.KEYS, max_pct: float = 5.0, strict_names=False):
-    advice = "Check record lifetimes and the keys the application asks for."
+    advice = (
+        "Many reads cost a lookup and bring nothing. Compare how long records are kept with how long clients go "
+        "on asking for them."
+    )
     return _ratio_rule(tables, keys, READS, max_pct, "reads", advice)
 
 
 @_catalog("C-4c", "Delete Miss Ratio", "namespace_stats")
 def delete_miss_ratio(tables, keys=S.KEYS, max_pct: float = 1.0, strict_names=False):
-    advice = "The application deletes records twice. Remove the redundant deletes."
+    advice = (
+        "Deletes reach records that are gone already. Look for retries and for several clients that clean up the "
+        "same records."
+    )
     return _ratio_rule(tables, keys, DELETES, max_pct, "deletes", advice)
 
 
