@@ -32,6 +32,11 @@ DOCUMENT_SCHEMA = "bundle string, member string, size bigint, json string, error
 #: Longest archive that fits a row of Spark, which ends at 2 GB with all its columns.
 LONGEST_ARCHIVE = 2**31 - 2**20
 
+#: Bytes of texts or archives after which a batch is handed on.
+BATCH_BYTES = 16 << 20
+#: Members after which a batch is handed on.
+BATCH_MEMBERS = 10_000
+
 
 def read_bundles(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """Archives of a folder or glob, as (bundle, content).
@@ -89,30 +94,25 @@ def _batch(columns: dict[str, tuple[pa.DataType, list]]) -> pa.RecordBatch:
 def list_members(bundles: DataFrame) -> DataFrame:
     """Members of every archive, without their content; an unreadable archive is one error row."""
 
+    def batch_of(part: list[tuple]) -> pa.RecordBatch:
+        types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string())
+        names = ("bundle", "ord", "member", "size", "error")
+        return _batch(dict(zip(names, zip(types, map(list, zip(*part, strict=True)), strict=True), strict=True)))
+
     def open_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part: list[tuple] = []
         for bundle, content in _rows(batches):
-            names, sizes, error = [], [], None
             try:
                 with _archive(content) as tar:
-                    for m in tar:
-                        names.append(m.name)
-                        sizes.append(m.size)
+                    for n, m in enumerate(tar):
+                        part.append((bundle, n, m.name, m.size, None))
             except Exception as e:  # a broken archive must not stop the corpus
-                error = f"{type(e).__name__}: {e}"
-            n = len(names)
-            ords: list[int | None] = list(range(n))
-            errors: list[str | None] = [None] * n
-            if error is not None:
-                ords, names, sizes, errors = [*ords, None], [*names, None], [*sizes, None], [*errors, error]
-            yield _batch(
-                {
-                    "bundle": (pa.string(), [bundle] * len(names)),
-                    "ord": (pa.int64(), ords),
-                    "member": (pa.string(), names),
-                    "size": (pa.int64(), sizes),
-                    "error": (pa.string(), errors),
-                }
-            )
+                part.append((bundle, None, None, None, f"{type(e).__name__}: {e}"))
+            if len(part) >= BATCH_MEMBERS:
+                yield batch_of(part)
+                part = []
+        if part:
+            yield batch_of(part)
 
     return bundles.select("bundle", "content").mapInArrow(open_each, MEMBER_SCHEMA)
 
