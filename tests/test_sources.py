@@ -1,10 +1,17 @@
+import contextlib
+import io
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from clusterlens import schema as S
-from clusterlens.plans import pipeline
+from clusterlens import sources
+from clusterlens.extract import metadata
+from clusterlens.plans import pipeline, queries_telemetry
+from clusterlens.plans.queries import QUERIES
+from clusterlens.sources import bundles, telemetry
 from clusterlens.sources import (
     bundle_inventory,
     decode_member,
@@ -431,3 +438,69 @@ def test_last_of_equal_names_and_odd_numbers(spark):
     assert rows(out, "cluster_id", "node_id", "p") == [
         ("c", "m", '{"v":"NaN"}'), ("c", "n", '{"v":4}'), ("c", "new", '{"v":5}'), ("d", None, None)
     ]
+
+
+# --- one pass, one parse, few batches ------------------------------------------------------------------
+
+
+class _Caught:
+    """Stands for a DataFrame and gives back the function that its tasks would run."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, f, schema):
+        return f
+
+
+def _plan(df) -> str:
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain()
+    return out.getvalue()
+
+
+def _json_rows(spark, n):
+    rows = [(f"b{i}", "m", document({"sys_stat": {"host": f"h{i}"}}, node=f"n{i}"), None) for i in range(n)]
+    return spark.createDataFrame(rows, "bundle string, member string, json string, error string")
+
+
+def test_nodes_of_many_documents_leave_in_one_batch():
+    texts = [document({"a": i}, node=f"n{i}") for i in range(50)]
+    columns = [[f"b{i}" for i in range(50)], ["m"] * 50, texts, [None] * 50]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=telemetry.DOCUMENT_COLUMNS)
+    made = list(telemetry._split_documents(_Caught())(iter([batch])))
+    assert [b.num_rows for b in made] == [50]
+    assert made[0].column("node_id").to_pylist() == [f"n{i}" for i in range(50)]
+
+
+def test_members_of_many_archives_leave_in_one_batch():
+    contents = [tar_bytes([("a.json", b"{}"), ("b", b"x")]) for _ in range(20)] + [b"broken", None]
+    columns = [pa.array([f"b{i}" for i in range(22)]), pa.array(contents, pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, names=["bundle", "content"])
+    made = list(bundles.list_members(_Caught())(iter([batch])))
+    assert [b.num_rows for b in made] == [42]
+    assert [r["ord"] for r in made[0].to_pylist()] == [0, 1] * 20 + [None, None]
+
+
+def test_nodes_are_parsed_once(spark):
+    good = explode_snapshots(_json_rows(spark, 3), "r1").filter(F.col("error").isNull())
+    assert _plan(good.select("node_id", "payload")).count("parseJson") == 1
+
+
+def test_metadata_read_the_nodes_once(spark):
+    nodes = explode_snapshots(_json_rows(spark, 3), "r1").filter(F.col("error").isNull())
+    assert _plan(metadata.extract_metadata(nodes)).count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("name", ["n14_index_location", "s6_store_runs"])
+def test_documents_are_opened_once(spark, sf_dir, monkeypatch, name):
+    """Queries that use their nodes several times read them from files after the first time."""
+    opened = []
+    nodes = queries_telemetry.nodes
+    monkeypatch.setattr(queries_telemetry, "nodes", lambda *a: opened.append(1) or nodes(*a))
+    kept = []
+    staged = sources.staged
+    monkeypatch.setattr(sources, "staged", lambda df, n: kept.append(n) or staged(df, n))
+    df = QUERIES[name](spark, sf_dir)
+    assert len(opened) == 1 and len(kept) == 1 and "MapInArrow" not in _plan(df)
