@@ -1,7 +1,12 @@
+import contextlib
+import io
 import json
 
+from pyspark.sql import functions as F
+
 from clusterlens.extract import EXTRACTORS, extractor, run_extractors
 from clusterlens.extract import features, metadata, tables
+from clusterlens.functions.variants import flatten
 from clusterlens.sources import profile_structure
 from helpers import nodes_of, rows
 
@@ -318,3 +323,15 @@ def test_any_depth_equals_recursion(spark):
         top = "as_stat.config" + ".d" * (depth - 1)
         assert shape[top][0] == "OBJECT" and shape[top][1] == 6
         assert shape[f"{top}.d.end"] == ("BIGINT", 0) and shape[f"{top}.void"][0] == "OBJECT"
+
+
+def test_flatten_opens_each_object_once(spark):
+    """Opening an object writes all below it anew, so a level opens it once and uses it several times."""
+    one = spark.sql("SELECT parse_json('{\"a\":{\"b\":{\"c\":1}}}') AS v FROM range(1)")
+    for inner in (False, True):
+        df = one.select(F.explode(flatten(F.col("v"), 3, inner=inner)))
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            df.explain("extended")
+        analyzed = out.getvalue().split("== Analyzed Logical Plan ==")[1].split("== Optimized")[0]
+        assert analyzed.count("as map<string,variant>") == 3  # the value, and members of two levels
