@@ -2,13 +2,15 @@ import contextlib
 import io
 import json
 
+import pyarrow.parquet as pq
+
 from pyspark.sql import functions as F
 
 from clusterlens.extract import EXTRACTORS, extractor, run_extractors
 from clusterlens.extract import features, metadata, tables
 from clusterlens.functions.variants import flatten
-from clusterlens.sources import profile_structure
-from helpers import nodes_of, rows
+from clusterlens.sources import explode_snapshots, profile_structure, staged
+from helpers import TS, nodes_of, rows
 
 PAYLOAD = {
     "as_stat": {
@@ -335,3 +337,68 @@ def test_flatten_opens_each_object_once(spark):
             df.explain("extended")
         analyzed = out.getvalue().split("== Analyzed Logical Plan ==")[1].split("== Optimized")[0]
         assert analyzed.count("as map<string,variant>") == 3  # the value, and members of two levels
+
+
+def analyzed_plan(df) -> str:
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("extended")
+    return out.getvalue().split("== Analyzed Logical Plan ==")[1].split("== Optimized")[0]
+
+
+def test_features_read_a_payload_once(spark):
+    nodes = spark.createDataFrame([("r", "c", "n")], "run_id string, cluster_id string, node_id string")
+    nodes = nodes.select("*", F.lit(TS).cast("timestamp").alias("snapshot_ts"), F.parse_json(F.lit("{}")).alias("payload"))
+    plan = analyzed_plan(features.detect_features(nodes))
+    assert plan.count("cast(payload") == 1 and "variant_get" not in plan
+
+
+def test_features_of_odd_values(spark):
+    def feats(statistics, config):
+        payload = {"as_stat": {"statistics": statistics, "config": config}}
+        return {r.feature for r in features.detect_features(nodes_of(spark, {"n": payload})).collect()}
+
+    on = {"stat_read_reqs": True, "batch_initiate": [1], "query_reqs": "NaN", "tscan_initiate": {"x": 1}}
+    assert feats({"service": on, "namespace": [1]}, {"xdr": None}) == {"KVS", "XDR"}
+    counters = {"pi_query_a": "x", "pi_query_b": True, "si_query_a": None}
+    assert feats({"namespace": {"a": {"service": counters}, "b": 1}}, {"namespace": {"a": 1}}) == {"PIndex Query"}
+    assert feats({"service": {"stat_read_reqs": 1}}, {"network": {"fabric": {"tls-port": None}}}) == set()
+
+
+def test_namespace_numbers_are_read_without_their_objects(spark):
+    nodes = nodes_of(spark, {
+        "n": {"as_stat": {"statistics": {"namespace": None}, "namespaces": {"old": {"x": 1}}}},
+        "m": {"as_stat": {"statistics": {"namespace": {"a": {"service": None, "x": 1}, "b": {"y": "2"}, "c": 3}}}},
+    })
+    df = tables.extract_namespace_stats(nodes)
+    assert rows(df, "node_id", "namespace", "metric", "value") == [("m", "b", "service.y", 2.0)]
+    assert "map<string,string>" in analyzed_plan(df)
+
+
+def test_levels_opened_as_rows_give_the_same_leaves(spark):
+    doc = {"a": {"b": {"c": {"d": [1, {"x": 2}], "e": {}, "": {"f": None}}}, "": 1}, "l": [], "o": {}, "t": "{}"}
+    nodes = nodes_of(spark, {"n": doc, "list": "[1]", "text": '"x"', "none": "null"})
+    want = rows(tables.flatten_payload(nodes, upper_levels=1), "node_id", "metric", "value", "value_type")
+    assert [r[1] for r in want] == ["a.", "a.b.c.d", "l", "t"]
+    for levels in (2, 3, 4, 5, 9):
+        got = tables.flatten_payload(nodes, upper_levels=levels)
+        assert rows(got, "node_id", "metric", "value", "value_type") == want
+
+
+def test_leaves_are_done_before_the_uncompiled_step(spark):
+    """Only what is an object below the upper levels goes on as a VARIANT."""
+    nodes = nodes_of(spark, {"n": PAYLOAD})
+    for df in (tables.extract_node_stats(nodes), tables.extract_configs(nodes)):
+        assert "CASE WHEN isnull(held" in analyzed_plan(df)
+
+
+def test_stored_payloads_stay_whole(spark):
+    docs = spark.createDataFrame(
+        [("b", "m", json.dumps({TS: {"c": {f"n{i}": {"as_stat": {"x": i}} for i in range(9)}}}), None)],
+        "bundle string, member string, json string, error string",
+    )
+    stored = staged(explode_snapshots(docs, "r"), "whole")
+    for file in stored.inputFiles():
+        fields = pq.read_schema(file.removeprefix("file:")).field("payload").type
+        assert {f.name for f in fields} == {"value", "metadata"}
+    assert stored.filter("payload IS NOT NULL").count() == 9
