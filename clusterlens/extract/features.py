@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from clusterlens import schema as S
 from clusterlens.extract.registry import extractor
 from clusterlens.extract.tables import AS_STAT, payload
-from clusterlens.functions.variants import as_map, child, entries, has_key, is_true, number_above
+from clusterlens.functions.variants import above
 
 # Counters that show a feature is in use when any of them is above zero.
 SERVICE_COUNTERS = {
@@ -59,66 +60,72 @@ def _any(conds: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conds)
 
 
-def _counted(block: Column, keys: list[str]) -> Column:
-    return _any([number_above(block, k) for k in keys])
+def _fields(names: Iterable[str], of: str) -> str:
+    return ", ".join(f"`{n}`: {of}" for n in names)
 
 
-def _not_a_number(block: Column, key: str) -> Column:
-    """A member that is there but cannot be read as a number."""
-    unreadable = child(block, key, as_type="double").isNull()
-    return has_key(block, key) & unreadable
+def what_is_read() -> str:
+    """Type of what the conditions read of a payload. A value that does not fit its type is null; a VARIANT is null only
+    where the member is absent."""
+    service = ", ".join(_fields(keys, "double") for keys in SERVICE_COUNTERS.values())
+    statistics = f"service: struct<{service}>, namespace: map<string, struct<service: map<string, double>>>"
+    settings = "`rack-id`: double, `strong-consistency`: string, `index-type`: string"
+    network = _fields(["service", "fabric"], "struct<`tls-port`: variant>")
+    config = (
+        f"xdr: variant, security: struct<`enable-security`: string>, network: struct<{network}>, "
+        f"namespace: map<string, struct<service: struct<{settings}>>>"
+    )
+    return f"struct<{AS_STAT}: struct<statistics: struct<{statistics}>, config: struct<{config}>>>"
+
 
+def _true(text: Column) -> Column:
+    return F.coalesce(F.lower(text) == "true", F.lit(False))
 
-def feature_conditions(namespaces: Column) -> dict[str, Column]:
-    """Condition of every feature over a node: its payload, and the (counters, settings) pairs of
-    its namespaces."""
-    config = child(payload(), AS_STAT, "config")
+
+def feature_conditions(block: Column, namespaces: Column) -> dict[str, Column]:
+    """Condition of every feature over what is read of a node, and the (counters, settings) pairs of its namespaces."""
+    config, service = block["config"], block["statistics"]["service"]
     conds: dict[str, list[Column]] = {f: [] for f in FEATURES}
     for feature, keys in SERVICE_COUNTERS.items():
-        conds[feature] += [
-            number_above(payload(), AS_STAT, "statistics", "service", k) for k in keys
-        ]
-    conds["XDR"].append(has_key(config, "xdr"))
-    conds["Security"].append(is_true(config, "security", "enable-security"))
+        conds[feature] += [above(service[k]) for k in keys]
+    conds["XDR"].append(config["xdr"].isNotNull())
+    conds["Security"].append(_true(config["security"]["enable-security"]))
     for part in ("service", "fabric"):
-        conds["TLS"].append(number_above(config, "network", part, "tls-port"))
+        conds["TLS"].append(above(config["network"][part]["tls-port"].try_cast("double")))
 
     def in_namespaces(test) -> Column:
         """Does any namespace pass the test on its counters and settings?"""
         return F.exists(namespaces, lambda n: test(n.getField("counters"), n.getField("settings")))
 
     for feature, keys in NAMESPACE_COUNTERS.items():
-        conds[feature].append(in_namespaces(lambda c, s, keys=keys: _counted(c, keys)))
+        conds[feature].append(
+            in_namespaces(lambda c, s, keys=keys: _any([above(F.try_element_at(c, F.lit(k))) for k in keys]))
+        )
     for feature, prefix in NAMESPACE_COUNTER_PREFIXES.items():
         conds[feature].append(
             in_namespaces(
                 lambda c, s, prefix=prefix: F.exists(
-                    entries(c),
-                    lambda m: m.getField("key").startswith(prefix)
-                    & number_above(m.getField("value")),
+                    F.map_keys(c),
+                    lambda k: k.startswith(prefix) & above(F.try_element_at(c, k)),
                 )
             )
         )
-    conds["Rack-aware"].append(in_namespaces(lambda c, s: number_above(s, "rack-id")))
-    conds["SC"].append(in_namespaces(lambda c, s: is_true(s, "strong-consistency")))
+    conds["Rack-aware"].append(in_namespaces(lambda c, s: above(s.getField("rack-id"))))
+    conds["SC"].append(in_namespaces(lambda c, s: _true(s.getField("strong-consistency"))))
     conds["Index-on-flash"].append(
-        in_namespaces(
-            lambda c, s: F.coalesce(
-                child(s, "index-type", as_type="string") == "flash", F.lit(False)
-            )
-        )
+        in_namespaces(lambda c, s: F.coalesce(s.getField("index-type") == "flash", F.lit(False)))
     )
     return {f: _any(c) for f, c in conds.items()}
 
 
-def namespace_pairs() -> Column:
-    """Counters and settings of every namespace that reports statistics."""
-    settings = as_map(child(payload(), AS_STAT, "config", "namespace"))
+def namespace_pairs(block: Column) -> Column:
+    """Counters and settings of every namespace that reports statistics; null without any."""
+    settings = block["config"]["namespace"]
     return F.transform(
-        entries(child(payload(), AS_STAT, "statistics", "namespace")),
+        F.map_entries(block["statistics"]["namespace"]),
         lambda e: F.struct(
-            child(e.getField("value"), "service").alias("counters"),
-            child(F.try_element_at(settings, e.getField("key")), "service").alias("settings"),
+            e.getField("value").getField("service").alias("counters"),
+            F.try_element_at(settings, e.getField("key")).getField("service").alias("settings"),
         ),
     )
 
@@ -126,16 +133,19 @@ def namespace_pairs() -> Column:
 @extractor("active_features")
 def detect_features(nodes: DataFrame) -> DataFrame:
     """Features per node. A TLS port that is no number leaves the node without any feature."""
-    network = child(payload(), AS_STAT, "config", "network")
-    broken = _any([_not_a_number(child(network, p), "tls-port") for p in ("service", "fabric")])
-    conds = feature_conditions(F.col("namespaces"))
+    block = F.col("block")
+    ports = [block["config"]["network"][part]["tls-port"] for part in ("service", "fabric")]
+    broken = _any([port.isNotNull() & port.try_cast("double").isNull() for port in ports])
+    conds = feature_conditions(block, F.col("namespaces"))
     found = F.filter(
         F.array(*[F.when(cond, F.lit(f)) for f, cond in conds.items()]),
         lambda f: f.isNotNull(),
     )
+    # A payload is read once, for all conditions: every path into it that leads to nothing costs as much as the rest.
+    read = payload().try_cast(what_is_read())[AS_STAT].alias("block")
     return (
         nodes.filter(F.col("node_id").isNotNull())
-        .filter(~broken)
-        .select(*S.KEYS, "node_id", "payload", namespace_pairs().alias("namespaces"))
-        .select(*S.KEYS, "node_id", F.explode(found).alias("feature"))
+        .select(*S.KEYS, "node_id", read)
+        .select(*S.KEYS, "node_id", "block", namespace_pairs(block).alias("namespaces"))
+        .select(*S.KEYS, "node_id", F.explode(F.when(~broken, found)).alias("feature"))
     )
