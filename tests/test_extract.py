@@ -389,7 +389,7 @@ def test_leaves_are_done_before_the_uncompiled_step(spark):
     """Only what is an object below the upper levels goes on as a VARIANT."""
     nodes = nodes_of(spark, {"n": PAYLOAD})
     for df in (tables.extract_node_stats(nodes), tables.extract_configs(nodes)):
-        assert "CASE WHEN isnull(held" in analyzed_plan(df)
+        assert "inline(coalesce(deeper" in analyzed_plan(df)
 
 
 def test_stored_payloads_stay_whole(spark):
