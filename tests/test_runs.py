@@ -5,6 +5,7 @@ import json
 
 import pytest
 from helpers import document, rows
+from pyspark.sql import DataFrameReader
 from pyspark.sql import functions as F
 
 from clusterlens import schema as S
@@ -23,7 +24,7 @@ from clusterlens.operators import (
 from clusterlens.plans import pipeline, queries_runs
 from clusterlens.rules import REGISTRY, finding_texts, findings, rule, run_all, run_rule
 from clusterlens.rules import series as series_rules
-from clusterlens.sources import read_parquet_tables, read_results, write_tables
+from clusterlens.sources import read_parquet_tables, read_results, telemetry, write_tables
 from clusterlens.sources.store import attempt_path, committed, new_attempt
 
 T0 = dt.datetime(2024, 1, 1)
@@ -389,6 +390,29 @@ def test_documents_are_dealt_to_few_folders(spark, tmp_path, monkeypatch, local)
     assert named == {f"n{i}" for i in range(61) if i != 7}
 
 
+def test_the_driver_lists_some_folders_at_a_time(spark, tmp_path, monkeypatch):
+    """Many files in many folders are read whole, and no listing holds them all."""
+    rows = [(i, document({"a": i}, node=f"n{i}")) for i in range(300)]
+    monkeypatch.setattr(queries_runs, "FOLDERS", 60)
+    queries_runs.write_documents(spark.createDataFrame(rows, "doc_id long, json string"), str(tmp_path / "docs"))
+    files = spark.read.text(str(tmp_path / "docs"), wholetext=True)
+    names = [f"_metadata.file_{x}" for x in ("path", "name", "size")]
+    whole = {tuple(r) for r in files.select(*names, "value").collect()}
+    listed, text = [], DataFrameReader.text
+
+    def counted(self, paths, **options):
+        df = text(self, paths, **options)
+        listed.append(len(df.inputFiles()))
+        return df
+
+    monkeypatch.setattr(DataFrameReader, "text", counted)
+    monkeypatch.setattr(telemetry, "LISTED_FILES", 40, raising=False)
+    monkeypatch.setattr(telemetry, "FIRST_FOLDERS", 2, raising=False)
+    read = sources.read_telemetry_json(spark, str(tmp_path / "docs"))
+    assert {tuple(r) for r in read.select("bundle", "member", "size", "json").collect()} == whole
+    assert max(listed) <= 80 and sum(listed) == read.count() == 300
+
+
 def test_no_documents_are_an_empty_folder(spark, tmp_path):
     queries_runs.write_documents(spark.createDataFrame([], "doc_id long, json string"), str(tmp_path / "none"))
     assert sources.read_telemetry_json(spark, str(tmp_path / "none")).count() == 0
